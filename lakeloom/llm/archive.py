@@ -30,7 +30,6 @@ from pyspark.sql import types as T
 from . import common
 
 LEAST = 100  # bytes; smaller payloads are never revisits
-RUN_BYTES = 16 << 20  # payload bytes of one archive file
 _CAPTURES = "url_key string, timestamp string, url string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, run string, offset long, length long"
 _ORDER = ["url_key", "timestamp", "page_id"]
 
@@ -121,11 +120,9 @@ def write(pages: DataFrame, path: str, least: int = LEAST) -> None:
     """Write gzip-compressed archives, each sorted by URL key and timestamp."""
     key = F.udf(url_key, T.StringType(), useArrow=True)
     rows = records(pages, least)
-    total = pages.agg(F.sum(F.octet_length("html").cast("long"))).first()[0] or 0
-    files = max(1, -(-total // RUN_BYTES))
+    # the join has dealt the payloads already: its tasks write a file each, so they are not shuffled again
     (
         rows.withColumn("url_key", key("url"))
-        .repartition(files, F.xxhash64("page_id", "payload_digest"))
         .sortWithinPartitions("url_key", _date(F.col("page_id")), "page_id")
         .select(warc_text(rows).alias("value"))
         .write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
