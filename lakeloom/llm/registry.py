@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import archive, packing, repair, spbpe, topk
+from . import archive, packing, quality, repair, secrets, spbpe, topk
 
 _ALL = {
+    "op1_secrets": (secrets.op1_secrets, secrets.SQL),
     "op4_token_ids": (repair.op4_token_ids, repair.SQL),
+    "op5_quality": (quality.op5_quality, quality.SQL),
     "op6_byte_bpe": (spbpe.op6_byte_bpe, spbpe.SQL),
     "op7_packing": (packing.op7_packing, packing.SQL),
     "op9_exact_topk": (topk.op9_exact_topk, topk.SQL),
