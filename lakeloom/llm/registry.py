@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import archive, packing, quality, repair, secrets, spbpe, topk
+from . import archive, packing, quality, repair, rlz, secrets, spbpe, topk, toxicity
 
 _ALL = {
     "op1_secrets": (secrets.op1_secrets, secrets.SQL),
+    "op2_toxicity": (toxicity.op2_toxicity, toxicity.SQL),
+    "op3_substrings": (rlz.op3_substrings, rlz.SQL),
     "op4_token_ids": (repair.op4_token_ids, repair.SQL),
     "op5_quality": (quality.op5_quality, quality.SQL),
     "op6_byte_bpe": (spbpe.op6_byte_bpe, spbpe.SQL),
