@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import archive, packing, quality, repair, rlz, secrets, spbpe, topk, toxicity
+from . import archive, jaccard, packing, quality, repair, rlz, secrets, spbpe, topk, toxicity
 
 _ALL = {
     "op1_secrets": (secrets.op1_secrets, secrets.SQL),
@@ -12,6 +12,7 @@ _ALL = {
     "op5_quality": (quality.op5_quality, quality.SQL),
     "op6_byte_bpe": (spbpe.op6_byte_bpe, spbpe.SQL),
     "op7_packing": (packing.op7_packing, packing.SQL),
+    "op8_jaccard": (jaccard.op8_jaccard, jaccard.SQL),
     "op9_exact_topk": (topk.op9_exact_topk, topk.SQL),
     "op10_warc": (archive.op10_warc, archive.SQL),
 }
