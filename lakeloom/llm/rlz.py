@@ -152,7 +152,7 @@ def _marked(b: Blocks, lists: pa.ListArray, start: np.ndarray, text: np.ndarray)
     return np.isin(text << 32 | start, keys)
 
 
-def _parse(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.RecordBatch]:
+def _parse(batches: Iterator[pa.RecordBatch], digest: bool, carried: bool = False) -> Iterator[pa.RecordBatch]:
     """Factor each text: copied windows, the words they cover, and what is kept."""
     for piece in common.slices(batches, "text", _SLICE):
         b = Blocks(piece.column("text"))
@@ -173,15 +173,20 @@ def _parse(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.Recor
             left = b" ".join(compress(words, mask.tolist()) if removed else words)
             rows.append((doc_id, len(mask), removed, hashlib.sha256(left).hexdigest() if digest else left.decode()))
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["doc_id", "n_words", "n_removed", "kept"])
+            made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
+            names = ["doc_id", "n_words", "n_removed", "kept"]
+            if carried:  # the row as it was, its text too
+                made, names = [*made, piece.column("text"), piece.column("row")], [*names, "text", "row"]
+            yield pa.RecordBatch.from_arrays(made, names=names)
 
 
-def deduplicate(docs: DataFrame, digest: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, digest: bool = False, carry: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): kept words joined by one space, or their digest.
 
     Null and empty texts have no words.  Documents are ordered by doc_id, rows without one come last.
     A doc_id names one document: rows that repeat it count as the same place, so a repeated row does not
-    remove the words of its twin.  Other columns are ignored; an empty table gives no rows.
+    remove the words of its twin.  Other columns are ignored, or with ``carry`` kept in ``row``, with the
+    text as it was; an empty table gives no rows.
     """
     common.ship(docs.sparkSession)
     last = F.lit((1 << 63) - 1)
@@ -200,11 +205,28 @@ def deduplicate(docs: DataFrame, digest: bool = False) -> DataFrame:
     marks = plain.unionByName(varied.withColumn("kind", F.lit(1))).unionByName(firsts)
     starts = lambda k: F.collect_list(F.when(F.col("kind") == k, F.col("start")))
     lists = marks.groupBy("doc_id").agg(starts(0).alias("reference_starts"), starts(1).alias("mixed_starts"), starts(2).alias("window_starts"))
+    schema = "doc_id long, n_words long, n_removed long, kept string"
+    if carry:
+        row = F.struct(*[c for c in docs.columns if c != "text"])
+        texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), last).alias("doc_id"), "text", row.alias("row"))
+        schema += f", text string, row {texts.schema['row'].dataType.simpleString()}"
     joined = texts.join(lists, "doc_id", "left")
-    out = joined.mapInArrow(lambda b: _parse(b, digest), "doc_id long, n_words long, n_removed long, kept string")
+    out = joined.mapInArrow(lambda b: _parse(b, digest, carry), schema)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != last, F.col("doc_id")))
 
 
+def keep_first(docs: DataFrame) -> DataFrame:
+    """Documents without the words that repeat earlier passages; untouched texts stay as they are.
+
+    A document of which nothing is left goes.  n_chars, if there, is counted anew.
+    """
+    parsed = deduplicate(docs, carry=True).where("n_removed < n_words OR n_words = 0")
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
+    chars = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("row")["n_chars"]) if "n_chars" in docs.columns else None
+    own = {"text": text, "n_chars": chars}
+    return parsed.select(*[own[c].alias(c) if c in own else F.col("row")[c].alias(c) for c in docs.columns])
+
+
 def op3_substrings(spark, sf_dir: str) -> DataFrame:
     return deduplicate(common.table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
 

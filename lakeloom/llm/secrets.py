@@ -184,26 +184,28 @@ def spans(text: Column, rule: Rule, rank: int) -> Column:
     return common.let(found, lambda matches: F.when(F.size(matches) == 0, none).otherwise(kept(matches)))
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, carry: bool = False) -> DataFrame:
     """(doc_id, found): for each row, its spans (start, rank, kind, end), sorted by start and rank.
 
     Null texts are empty.  Rows that repeat a doc_id, or have none, are scanned each; their postings
-    are put together, which only adds candidates.  Other columns are ignored.  An empty table gives
-    no rows.
+    are put together, which only adds candidates.  Other columns are ignored, or with ``carry`` kept in
+    ``row``, next to the text.  An empty table gives no rows.
     """
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
     grams = sorted({g for q in queries.values() for c in q for g in c})
-    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    row = [F.struct(*docs.columns).alias("row")] if carry else []
+    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *row)
+    rest = ["row"] if carry else []
     full = [spans(F.col("text"), r, n) for n, r in enumerate(rules) if r.kind not in queries]
     none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
     if not grams:
-        return texts.select("doc_id", F.array_sort(F.concat(none, *full)).alias("found"))
+        return texts.select("doc_id", F.array_sort(F.concat(none, *full)).alias("found"), *rest)
     some = F.exists(F.array(*[F.contains("folded", F.lit(g)) for g in grams]), lambda x: x)
-    left = texts.withColumn("folded", F.lower("text")).select("doc_id", F.when(some, F.col("text")).alias("text"), F.concat(none, *full).alias("always"))
+    left = texts.withColumn("folded", F.lower("text")).select("doc_id", F.when(some, F.col("text")).alias("text"), F.concat(none, *full).alias("always"), *rest)
     met = candidates(postings(texts, grams), queries).withColumnRenamed("doc_id", "met_id")
     joined = left.join(met, left["doc_id"].eqNullSafe(met["met_id"]), "left")
     verified = [F.when(F.array_contains("rules", r.kind), spans(F.col("text"), r, n)).otherwise(none) for n, r in enumerate(rules) if r.kind in queries]
-    return joined.select("doc_id", F.array_sort(F.concat("always", *verified)).alias("found"))
+    return joined.select("doc_id", F.array_sort(F.concat("always", *verified)).alias("found"), *rest)
 
 
 def digest(found: Column) -> Column:
@@ -221,26 +223,20 @@ def op1_secrets(spark, sf_dir: str) -> DataFrame:
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Documents with each secret replaced by its kind in brackets; overlapping spans are one, named by the first.
 
-    Rows whose doc_id is null or not unique keep all their own columns; n_chars is counted anew.
+    Texts without a secret stay as they are, null ones too; n_chars, if there, is counted anew for the others.
     """
-    marked = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    spans_of = scan(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text").distinct(), rules).where(F.size("found") > 0).select(F.col("doc_id").alias("row_key"), "found")
-    joined = marked.join(spans_of, "row_key", "left")
+    found = scan(docs, rules, carry=True)
+    text = F.col("row")["text"]
 
     def step(acc: Column, s: Column) -> Column:
-        skip = s["end"] <= acc["at"]
-        inside = s["start"] < acc["at"]
-        gap = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
-        added = F.when(skip | inside, F.lit("")).otherwise(F.concat(gap, F.lit("["), s["kind"], F.lit("]")))
+        added = F.when(s["start"] < acc["at"], F.lit("")).otherwise(F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]")))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["text"], added).alias("text"))
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
-    clean = F.aggregate("found", start, step, lambda acc: F.concat(acc["text"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    text = F.when(F.col("found").isNull(), F.col("text")).otherwise(clean)
-    out = joined.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("found").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+    clean = F.aggregate("found", start, step, lambda acc: F.concat(acc["text"], F.substring(text, acc["at"] + 1, F.length(text))))
+    out = found.withColumn("clean", F.when(F.size("found") == 0, text).otherwise(clean))
+    own = {"text": F.col("clean"), "n_chars": F.when(F.size("found") == 0, F.col("row")["n_chars"]).otherwise(F.length("clean").cast("long")) if "n_chars" in docs.columns else None}
+    return out.select(*[own[c].alias(c) if c in own else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def _sql() -> str:
