@@ -157,10 +157,11 @@ def _parse(batches: Iterator[pa.RecordBatch], digest: bool, carried: bool = Fals
     for piece in common.slices(batches, "text", _SLICE):
         b = Blocks(piece.column("text"))
         block_text, block_start = b.text[b.heads], b.start[b.heads]
+        again = _marked(b, piece.column("again_starts"), block_start, block_text)
         reference = _marked(b, piece.column("reference_starts"), block_start, block_text)
         partial = _marked(b, piece.column("mixed_starts"), block_start, block_text)
         first = _marked(b, piece.column("window_starts"), b.start, b.text)
-        copied = np.where(np.repeat(partial, b.sizes), ~first, ~np.repeat(reference, b.sizes))
+        copied = np.where(np.repeat(partial, b.sizes), ~first, np.repeat(again & ~reference, b.sizes))
         change = np.zeros(len(b.text_of_word) + 1, dtype=np.int64)
         np.add.at(change, b.at[copied], 1)
         np.add.at(change, b.at[copied] + WINDOW, -1)
@@ -191,20 +192,24 @@ def deduplicate(docs: DataFrame, digest: bool = False, carry: bool = False) -> D
     common.ship(docs.sparkSession)
     last = F.lit((1 << 63) - 1)
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), last).alias("doc_id"), "text")
-    blocks = texts.mapInArrow(_emit_blocks, "anchor long, content long, doc_id long, start int")
+    blocks = texts.mapInArrow(_emit_blocks, "anchor long, content long, doc_id long, start int").where("anchor IS NOT NULL")
     place = F.struct("doc_id", "start")
-    anchors = blocks.groupBy("anchor").agg(F.min(place).alias("place"), F.min("content").alias("low"), F.max("content").alias("high"))
-    # one content for an anchor: its earliest block is the reference and all others are copies
-    plain = anchors.where("low = high").select("place.*", F.lit(0).alias("kind"))
-    # more contents: of each content the earliest block is looked at window by window
-    several = anchors.where("low <> high").select("anchor")
-    varied = blocks.join(several, "anchor").groupBy("anchor", "content").agg(F.min(place).alias("place")).select("place.*")
-    by_doc = varied.groupBy("doc_id").agg(F.collect_list("start").alias("mixed_starts"))  # at most the blocks of one text
+    # blocks whose anchor occurs again; all others are new text and need no further look
+    repeated = blocks.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    again = blocks.join(repeated, "anchor")
+    firsts = again.groupBy("anchor", "content").agg(F.min(place).alias("place"))
+    # anchors with more than one content: of each content the earliest block is looked at window by window
+    several = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    mixed_blocks = firsts.join(several, "anchor").select("place.*")
+    by_doc = mixed_blocks.groupBy("doc_id").agg(F.collect_list("start").alias("mixed_starts"))  # at most the blocks of one text
     windows = texts.join(by_doc, "doc_id").mapInArrow(_emit_windows, "anchor long, window long, doc_id long, start int")
-    firsts = windows.groupBy("anchor", "window").agg(F.min(place).alias("place")).select("place.*", F.lit(2).alias("kind"))
-    marks = plain.unionByName(varied.withColumn("kind", F.lit(1))).unionByName(firsts)
-    starts = lambda k: F.collect_list(F.when(F.col("kind") == k, F.col("start")))
-    lists = marks.groupBy("doc_id").agg(starts(0).alias("reference_starts"), starts(1).alias("mixed_starts"), starts(2).alias("window_starts"))
+    new_windows = windows.groupBy("anchor", "window").agg(F.min(place).alias("place")).select("place.*")
+    kinds = (again.select("doc_id", "start"), firsts.select("place.*"), mixed_blocks, new_windows)
+    marks = kinds[0].withColumn("kind", F.lit(0))
+    for n, rows in enumerate(kinds[1:], 1):
+        marks = marks.unionByName(rows.withColumn("kind", F.lit(n)))
+    starts = lambda k, name: F.collect_list(F.when(F.col("kind") == k, F.col("start"))).alias(name)
+    lists = marks.groupBy("doc_id").agg(*[starts(k, f"{name}_starts") for k, name in enumerate(("again", "reference", "mixed", "window"))])
     schema = "doc_id long, n_words long, n_removed long, kept string"
     if carry:
         row = F.struct(*[c for c in docs.columns if c != "text"])
