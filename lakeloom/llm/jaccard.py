@@ -73,24 +73,35 @@ def digest(found: np.ndarray) -> bytes:
     return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
 
 
+def buckets_of(values: np.ndarray) -> np.ndarray:
+    """One hash for each band of the values of each row."""
+    bands = values.astype(np.uint64).reshape(len(values), HASHES // ROWS, ROWS)
+    out = np.arange(1, HASHES // ROWS + 1, dtype=np.uint64)[None, :].repeat(len(values), axis=0)
+    for r in range(ROWS):
+        out = rlz.mixed(out ^ rlz.mixed(bands[:, :, r]))
+    return out
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for piece in common.slices(batches, "text", 2 << 20):
         sets = shingle_sets(piece.column("text"))
         full = [n for n, s in enumerate(sets) if len(s)]
-        made = signatures([sets[n] for n in full]).view(np.int32)
+        made = buckets_of(signatures([sets[n] for n in full])).view(np.int64)
         at = dict(zip(full, range(len(full)), strict=True))
-        values = pa.array([made[at[n]] if n in at else None for n in range(len(sets))], pa.list_(pa.int32()))
+        buckets = pa.array([made[at[n]] if n in at else None for n in range(len(sets))], pa.list_(pa.int64()))
         digests = pa.array([digest(s) if len(s) else None for s in sets], pa.binary())
-        yield pa.RecordBatch.from_arrays([piece.column("doc_id"), digests, values], names=["doc_id", "node", "values"])
+        yield pa.RecordBatch.from_arrays([piece.column("doc_id"), digests, buckets], names=["doc_id", "node", "buckets"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles and MinHash values of the texts whose digest is that of the node they are taken for."""
     for piece in common.slices(batches, "text", 2 << 20):
         sets = shingle_sets(piece.column("text"))
         right = [n for n, (s, node) in enumerate(zip(sets, piece.column("node").to_pylist(), strict=True)) if len(s) and digest(s) == node]
         taken = piece.take(pa.array(right, pa.int64()))
+        values = pa.array(list(signatures([sets[n] for n in right]).view(np.int32)), pa.list_(pa.int32()))
         shingles = pa.array([sets[n].tobytes() for n in right], pa.binary())
-        yield pa.RecordBatch.from_arrays([*(taken.column(c) for c in ("node", "block", "copies", "values")), shingles], names=["node", "block", "copies", "values", "shingles"])
+        yield pa.RecordBatch.from_arrays([*(taken.column(c) for c in ("node", "block", "copies")), values, shingles], names=["node", "block", "copies", "values", "shingles"])
 
 
 def least_matches(steps: int = STEP) -> dict[int, int]:
@@ -164,7 +175,7 @@ def _overlaps(a: list[np.ndarray], b: list[np.ndarray], width: int = 8192) -> np
 def _unit(rows: pd.DataFrame) -> pd.DataFrame:
     """Links and local components of one pair of blocks."""
     low, high = rows["low"].iloc[0], rows["high"].iloc[0]
-    rows = rows.sort_values("node", ignore_index=True)
+    rows = rows.drop_duplicates("node").sort_values("node", ignore_index=True)  # a repeated row brings its node twice
     blocks = rows["block"].to_numpy()
     a, b = np.flatnonzero(blocks == low), np.flatnonzero(blocks == high)
     values = np.stack([np.asarray(v) for v in rows["values"]])
@@ -220,35 +231,34 @@ def join(docs: DataFrame) -> DataFrame:
     """
     common.ship(docs.sparkSession)
     texts = docs.select("doc_id", "text")
-    rows = common.stage(texts.mapInArrow(_sketch, "doc_id long, node binary, values array<int>"), "sketch")
+    rows = common.stage(texts.mapInArrow(_sketch, "doc_id long, node binary, buckets array<long>"), "sketch")
     real = rows.where("node IS NOT NULL")
-    nodes = real.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("values").alias("values"))
-    nodes = common.stage(nodes, "nodes")
-
-    band = lambda b: F.xxhash64(b, *[F.get("values", b * ROWS + r) for r in range(ROWS)])
-    bands = nodes.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(HASHES // ROWS - 1)), band)).alias("bucket"))
-    buckets = bands.groupBy("bucket").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    met = common.stage(bands.join(buckets, "bucket"), "met")
-    near = met.groupBy("node").agg(F.min("lead").alias("near"))
+    # candidates go by eight bytes of a node's digest; two nodes of one short name only make more candidates
+    short = F.xxhash64("node").alias("short")
+    nodes = common.stage(real.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "nodes")
+
+    bands = real.select(short, F.explode("buckets").alias("bucket"))
+    shared = bands.groupBy("bucket").agg(F.min("short").alias("lead"), F.max("short").alias("last")).where("lead <> last").drop("last")
+    met = common.stage(bands.join(shared, "bucket").distinct(), "met")
+    near = met.groupBy("short").agg(F.min("lead").alias("near"))
     sizes = near.groupBy("near").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
-    block = F.xxhash64("near", F.pmod(F.xxhash64("node"), F.col("parts")))
-    placed = common.stage(near.join(sizes, "near").select("node", block.alias("block")), "blocks")
+    block = F.xxhash64("near", F.pmod(F.xxhash64("short", F.lit(1)), F.col("parts")))
+    placed = common.stage(near.join(sizes, "near").select("short", block.alias("block")), "blocks")
 
     # units: a block by itself, and blocks that meet in a bucket
-    meeting = met.join(placed, "node").select("bucket", "block").distinct()
+    meeting = met.join(placed, "short").select("bucket", "block").distinct()
     other = meeting.select("bucket", F.col("block").alias("high"))
     pairs = meeting.join(other, "bucket").where("block < high").select(F.col("block").alias("low"), "high").distinct()
-    own = placed.groupBy("block").count().where("count > 1").select(F.col("block").alias("low"), F.col("block").alias("high"))
+    own = placed.groupBy("block").count().select(F.col("block").alias("low"), F.col("block").alias("high"))
     units = common.stage(own.unionByName(pairs), "units")
     sides = units.select(F.col("low").alias("block"), "low", "high").unionByName(units.where("low < high").select(F.col("high").alias("block"), "low", "high"))
 
     # shingle sets of the nodes' representatives, once for each unit
-    chosen = nodes.join(placed, "node").select("node", "rep", "block", "copies", "values")
+    chosen = nodes.withColumn("short", F.xxhash64("node")).join(placed, "short").select("node", "rep", "block", "copies")
     same_id = F.coalesce(F.col("doc_id"), F.lit(-1)) == F.coalesce(F.col("rep"), F.lit(-1))
     with_text = texts.join(chosen, same_id)
-    sets = with_text.select("text", "node", "block", "copies", "values").mapInArrow(_sets, "node binary, block long, copies long, values array<int>, shingles binary")
-    dealt = sets.join(sides, "block").dropDuplicates(["low", "high", "node"])
-    found = common.stage(dealt.groupBy("low", "high").applyInPandas(_unit, "node binary, lead binary, links long"), "found")
+    sets = with_text.select("text", "node", "block", "copies").mapInArrow(_sets, "node binary, block long, copies long, values array<int>, shingles binary")
+    found = common.stage(sets.join(sides, "block").groupBy("low", "high").applyInPandas(_unit, "node binary, lead binary, links long"), "found")
 
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select("node", "lead"))
