@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,7 +76,7 @@ class Engine:
             ready = rewrite(text.strip().rstrip(";"))
             self._views(ready, txn)
             return check_names(self.spark.sql(ready, args=bound or None))
-        except PySparkException as error:
+        except (PySparkException, Py4JJavaError) as error:
             raise engine_error(error) from error
 
     def execute(self, text: str, txn: Txn | None = None, **bound) -> list[dict]:
@@ -85,7 +86,7 @@ class Engine:
         if verb.startswith(("SELECT", "WITH", "( ", "VALUES", "FROM")):
             try:
                 return [r.asDict() for r in self.sql(text, txn, **bound).collect()]
-            except PySparkException as error:
+            except (PySparkException, Py4JJavaError) as error:
                 raise engine_error(error) from error
         if self.strict:
             check_strict(text)
@@ -94,7 +95,7 @@ class Engine:
             if verb.startswith(start):
                 try:
                     return act(text, txn, bound)
-                except PySparkException as error:
+                except (PySparkException, Py4JJavaError) as error:
                     raise engine_error(error) from error
         raise UnsupportedSql(f"unsupported statement {verb}")
 
@@ -154,7 +155,7 @@ class Engine:
         self._views(rest, txn)
         try:
             rows = self.spark.sql(rest, args=bound or None)
-        except PySparkException as error:
+        except (PySparkException, Py4JJavaError) as error:
             raise engine_error(error) from error
         if len(rows.columns) != len(columns):
             raise SqlError(f"{len(columns)} columns, {len(rows.columns)} values")

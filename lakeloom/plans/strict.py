@@ -70,8 +70,8 @@ def check_names(df: DataFrame) -> DataFrame:
     return df
 
 
-def engine_error(error: PySparkException) -> Exception:
-    """The engine's own error for one of Spark's."""
-    kind = error.getCondition() or ""
+def engine_error(error: Exception) -> Exception:
+    """The engine's own error for one of Spark's, of analysis or of execution."""
+    kind = (error.getCondition() or "") if isinstance(error, PySparkException) else ""
     text = str(error).split("\n")[0]
     return UnsupportedSql(text) if kind.startswith("UNSUPPORTED") or kind.startswith("NOT_IMPLEMENTED") else SqlError(text)
