@@ -201,10 +201,11 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, carry: bool = False)
     if not grams:
         return texts.select("doc_id", F.array_sort(F.concat(none, *full)).alias("found"), *rest)
     some = F.exists(F.array(*[F.contains("folded", F.lit(g)) for g in grams]), lambda x: x)
-    left = texts.withColumn("folded", F.lower("text")).select("doc_id", F.when(some, F.col("text")).alias("text"), F.concat(none, *full).alias("always"), *rest)
+    # (the column has another name: in a lambda, "text" would mean a column of that name made in the same select)
+    left = texts.withColumn("folded", F.lower("text")).select("doc_id", F.when(some, F.col("text")).alias("held_text"), F.concat(none, *full).alias("always"), *rest)
     met = candidates(postings(texts, grams), queries).withColumnRenamed("doc_id", "met_id")
     joined = left.join(met, left["doc_id"].eqNullSafe(met["met_id"]), "left")
-    verified = [F.when(F.array_contains("rules", r.kind), spans(F.col("text"), r, n)).otherwise(none) for n, r in enumerate(rules) if r.kind in queries]
+    verified = [F.when(F.array_contains("rules", r.kind), spans(F.coalesce("held_text", F.lit("")), r, n)).otherwise(none) for n, r in enumerate(rules) if r.kind in queries]
     return joined.select("doc_id", F.array_sort(F.concat("always", *verified)).alias("found"), *rest)
 
 
