@@ -45,6 +45,7 @@ IDENTITIES = (
     ("disabled", "deaf", "blind", "elderly", "young"),
     ("frauen", "männer"), ("femmes", "hommes"), ("mujeres", "hombres"),
 )
+_LETTERS = re.compile(r"[^\W\d_]+")
 _NEXT = {t: group[(i + 1) % len(group)] for group in IDENTITIES for i, t in enumerate(group)}
 _TERM = re.compile(r"(?<!\w)(?:" + "|".join(sorted(_NEXT, key=len, reverse=True)) + r")(?!\w)", re.IGNORECASE)
 
@@ -80,17 +81,52 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
+Table = tuple[int, pa.Array, np.ndarray]  # letters of a beginning (0: whole words), strings, their features
+
+
 @dataclass
 class Model:
     weights: np.ndarray  # one for each hashed feature, log-odds included
     bias: float
+    tables: tuple[Table, ...] = ()  # the strings behind the features that have a weight
 
     def score(self, texts: pa.Array) -> np.ndarray:
-        rows, columns = features(texts)
+        rows, columns = known_features(texts, self.tables)
         logits = self.bias + np.bincount(rows, self.weights[columns], minlength=len(texts))
         return 1 / (1 + np.exp(-np.clip(logits, -50, 50)))
 
 
+def known_features(texts: pa.Array, tables: tuple[Table, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Like ``features``, for the features whose strings are in the tables: strings are looked up, not hashed."""
+    lists = pc.split_pattern_regex(pc.utf8_lower(texts.cast(pa.large_string()).fill_null("")), r"[^\p{L}]+")
+    offsets = np.asarray(lists.offsets, dtype=np.int64)
+    coded = lists.flatten().dictionary_encode()
+    words, codes = coded.dictionary, np.asarray(coded.indices)
+    rows = np.repeat(np.arange(len(texts)), np.diff(offsets))
+    pairs = []
+    lengths = np.asarray(pc.utf8_length(words))
+    for n, strings, ids in tables:
+        at = pc.index_in(words if n == 0 else pc.utf8_slice_codeunits(words, 0, n), value_set=strings)
+        feature = np.where(np.asarray(at.is_valid()) & (lengths > n), ids[np.asarray(at.fill_null(0))], -1) if len(ids) else np.full(len(words), -1)
+        found = np.flatnonzero((feature >= 0)[codes])
+        pairs.append(rows[found] << BITS | feature[codes[found]])
+    every = np.unique(np.concatenate(pairs)) if pairs else np.empty(0, np.int64)
+    return every >> BITS, every & ((1 << BITS) - 1)
+
+
+def _strings(batches: Iterator[pa.RecordBatch], strong: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(letters, string, feature) of the strong features that the texts have."""
+    seen: dict[tuple[int, str], int] = {}
+    for piece in common.slices(batches, "text"):
+        for text in piece.column("text").to_pylist():
+            for word in set(_LETTERS.findall((text or "").lower())):
+                for size, feature in zip((0, *BEGINNINGS), _hashed(word), strict=True):
+                    if len(word) > size and strong[feature]:
+                        seen[size, word[:size] if size else word] = feature
+    if seen:
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.int32()), pa.array([k[1] for k in seen]), pa.array(list(seen.values()), pa.int64())], names=["letters", "string", "feature"])
+
+
 def fit(rows: np.ndarray, columns: np.ndarray, labels: np.ndarray, other: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> Model:
     """Fit on (row, feature) pairs of labelled texts.
 
@@ -172,8 +208,16 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     keep = number[extra] >= 0
     other = (number[extra][keep], extra_columns[keep], with_swap) if keep.any() else None
     labels_of = np.asarray(got.column("label").combine_chunks(), dtype=float)
-    del got, spark
-    return fit(rows, columns, labels_of, other)
+    del got
+    model = fit(rows, columns, labels_of, other)
+    # the strings behind the strong features, from the sample's texts once more
+    strong = spark.sparkContext.broadcast(model.weights != 0)
+    named = texts.select("text").mapInArrow(lambda b: _strings(b, strong.value), "letters int, string string, feature long").distinct().toArrow()
+    tables = []
+    for n in (0, *BEGINNINGS):
+        mine = named.filter(pc.equal(named.column("letters"), n)).combine_chunks()
+        tables.append((n, mine.column("string").combine_chunks().cast(pa.large_string()), np.asarray(mine.column("feature"), dtype=np.int64)))
+    return Model(model.weights.astype(np.float32), model.bias, tuple(tables))
 
 
 def held_out():
