@@ -192,21 +192,23 @@ def deduplicate(docs: DataFrame, digest: bool = False, carry: bool = False) -> D
     common.ship(docs.sparkSession)
     last = F.lit((1 << 63) - 1)
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), last).alias("doc_id"), "text")
-    blocks = texts.mapInArrow(_emit_blocks, "anchor long, content long, doc_id long, start int").where("anchor IS NOT NULL")
+    blocks = texts.mapInArrow(_emit_blocks, "anchor long, content long, doc_id long, start int").where("anchor IS NOT NULL AND doc_id IS NOT NULL")
     place = F.struct("doc_id", "start")
+    # (conditions that Spark would infer for some branches stand here, so that all branches share one shuffle)
     # blocks whose anchor occurs again; all others are new text and need no further look
     repeated = blocks.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     again = blocks.join(repeated, "anchor")
     firsts = again.groupBy("anchor", "content").agg(F.min(place).alias("place"))
     # anchors with more than one content: of each content the earliest block is looked at window by window
-    several = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    several = firsts.groupBy("anchor").agg(F.count("place").alias("n")).where("n > 1").select("anchor")
     mixed_blocks = firsts.join(several, "anchor").select("place.*")
     by_doc = mixed_blocks.groupBy("doc_id").agg(F.collect_list("start").alias("mixed_starts"))  # at most the blocks of one text
     windows = texts.join(by_doc, "doc_id").mapInArrow(_emit_windows, "anchor long, window long, doc_id long, start int")
     new_windows = windows.groupBy("anchor", "window").agg(F.min(place).alias("place")).select("place.*")
-    kinds = (again.select("doc_id", "start"), firsts.select("place.*"), mixed_blocks, new_windows)
-    marks = kinds[0].withColumn("kind", F.lit(0))
-    for n, rows in enumerate(kinds[1:], 1):
+    kinds = (firsts.select("place.*"), mixed_blocks, new_windows)
+    # (always 0; made of the content so that this branch reads the same columns, and so the same shuffle, as the others)
+    marks = again.select("doc_id", "start", F.pmod(F.col("content"), F.lit(1)).cast("int").alias("kind"))
+    for n, rows in enumerate(kinds, 1):
         marks = marks.unionByName(rows.withColumn("kind", F.lit(n)))
     starts = lambda k, name: F.collect_list(F.when(F.col("kind") == k, F.col("start"))).alias(name)
     lists = marks.groupBy("doc_id").agg(*[starts(k, f"{name}_starts") for k, name in enumerate(("again", "reference", "mixed", "window"))])
