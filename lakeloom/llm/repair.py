@@ -33,6 +33,7 @@ SHARD_BYTES = 8 << 20  # text bytes of one shard
 ROUNDS = 4
 RULES_A_ROUND = 512
 LEAST_COUNT = 32
+SLOT_BITS = 18  # hashed pair counters: few enough to stay in a processor's cache
 _MAGIC = b"RPG1"
 
 
@@ -40,10 +41,10 @@ def _frequent_pairs(symbols: np.ndarray, width: int, inside: np.ndarray) -> list
     """The most frequent pairs, no symbol in two of them; ``inside``: where a pair stays within a document."""
     keys = (symbols[:-1].astype(np.int64) * width + symbols[1:])[inside]
     # pairs are counted by a hash first, and exactly where that count is high enough
-    slots = (keys * np.int64(-7046029254386353131)).view(np.uint64) >> np.uint64(44)
-    counts = np.bincount(slots.view(np.int64), minlength=1 << 20)
+    slots = ((keys * np.int64(-7046029254386353131)).view(np.uint64) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
+    counts = np.bincount(slots, minlength=1 << SLOT_BITS)
     edge = max(LEAST_COUNT, int(np.partition(counts, -4 * RULES_A_ROUND)[-4 * RULES_A_ROUND]))
-    values, exact = np.unique(keys[counts[slots.view(np.int64)] >= edge], return_counts=True)
+    values, exact = np.unique(keys[counts[slots] >= edge], return_counts=True)
     taken: set[int] = set()
     pairs = []
     for at in np.argsort(-exact, kind="stable"):
