@@ -1,24 +1,26 @@
 """Quality rules: structural limits, then a hashed n-gram log-likelihood ratio.
 
-The verdict compares two multinomials over hashed word unigrams and bigrams: one counted over trusted
-documents, one over all documents.  A document's score is the sum of log ratios of its n-grams divided
-by their number; below a fixed threshold it is rejected.  Trusted documents are those that meet strict
-structural limits, so no second table is joined and every document is counted.  The two passes read the
-texts where they are: what is shuffled is one count for each bucket and task, and what reaches the
-driver is one pair of counts for each of ``BUCKETS`` buckets.
+The verdict compares two multinomials over word unigrams and bigrams: one counted over trusted documents,
+one over all documents.  A document's score is the mean of its n-grams' log ratios; below a fixed threshold
+it is rejected.  Trusted documents are those that meet strict structural limits, so no second table is
+joined and every document is counted.
+
+N-grams are named by hashes of 64 bits and no two share a count, however large the corpus is: in a table of
+fixed size they mix as the corpus grows, and ratios shrink to 0.  So the ratios are a table too, written to
+the shared folder, and joined to the n-grams of each text.  Texts go by their 64-bit hash there.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from . import common
 
-BUCKETS = 1 << 14  # hashed n-grams; the size of what is collected
-THRESHOLD = -0.12  # mean log ratio below which a document is rejected
+THRESHOLD = -0.55  # mean log ratio below which a document is rejected; labelled ones lie on both sides of it at sf0.01 and sf0.1
+UNIT = 10_000  # ratios are whole numbers of 1 / UNIT, so that sums do not depend on their order
 LEAST_WORDS = 20
 REPEAT_PERCENT = 30
 WINDOW = 8
@@ -60,10 +62,9 @@ def repeated_words(words: Column) -> Column:
 
 
 def _ngrams(words: Column) -> Column:
-    """Buckets of all word unigrams and bigrams."""
-    bucket = lambda *w: F.pmod(F.xxhash64(*w), F.lit(BUCKETS)).cast("int")
-    pairs = F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: bucket(F.get(words, i - 1), F.get(words, i)))).otherwise(F.array().cast("array<int>"))
-    return F.concat(F.transform(words, lambda w: bucket(w)), pairs)
+    """Hashes of all word unigrams and bigrams."""
+    pairs = F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.xxhash64(F.get(words, i - 1), F.get(words, i)))).otherwise(F.array().cast("array<bigint>"))
+    return F.concat(F.transform(words, lambda w: F.xxhash64(w)), pairs)
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -78,18 +79,31 @@ def measures(docs: DataFrame) -> DataFrame:
     )
 
 
-def log_ratios(docs: DataFrame) -> list[float]:
-    """For each bucket, log of its share in trusted documents over its share in all, with one added to each count."""
+def log_ratios(docs: DataFrame) -> tuple[DataFrame, float]:
+    """(gram, ratio) with ratios in UNITs, and what to add to each log ratio.
+
+    A ratio is the log of a count in trusted documents over that in all, with one added to both; n-grams
+    that only trusted documents have are left out, theirs is 0.  What is added is the log of all n-grams
+    over those of trusted documents.
+    """
     m = measures(docs.select("text"))
     trusted = (F.col("n_words") >= LEAST_WORDS) & (F.col("n_dup_lines") == 0) & (F.col("n_symbols") * 50 <= F.col("n_words"))
-    grams = m.select(trusted.alias("trusted"), F.explode(_ngrams(F.col("words"))).alias("bucket"))
-    counted = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count_if("trusted").alias("target")).collect()  # BUCKETS rows at most
-    raw, target = [1] * BUCKETS, [1] * BUCKETS
-    for row in counted:
-        raw[row["bucket"]] += row["raw"]
-        target[row["bucket"]] += row["target"]
-    shift = math.log(sum(raw)) - math.log(sum(target))
-    return [round(math.log(t) - math.log(r) + shift, 4) for t, r in zip(target, raw, strict=True)]
+    grams = m.select(trusted.alias("trusted"), F.explode(_ngrams(F.col("words"))).alias("gram"))
+    totals = Observation()
+    counted = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("raw"), F.count_if("trusted").alias("target")).observe(totals, F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    ratio = F.round((F.log(F.col("target") + 1) - F.log(F.col("raw") + 1)) * UNIT).cast("long")
+    ratios = common.stage(counted.where("target < raw").select("gram", ratio.alias("ratio")), "quality-ratios")
+    return ratios, math.log(((totals.get["raw"] or 0) + 1) / ((totals.get["target"] or 0) + 1))
+
+
+def scores(docs: DataFrame) -> DataFrame:
+    """(key, score) of each text with words; the key is the text's hash, so copies share a row."""
+    ratios, shift = log_ratios(docs)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    texts = docs.select(F.xxhash64(text).alias("key"), common.words_of(text).alias("words"))  # split once, below the generator
+    grams = texts.select("key", F.explode(_ngrams(F.col("words"))).alias("gram"))
+    mean = F.sum(F.coalesce(F.col("ratio"), F.lit(0))) / F.count(F.lit(1)) / UNIT
+    return grams.join(ratios, "gram", "left").groupBy("key").agg(F.round(mean + shift, 6).alias("score"))
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -98,15 +112,14 @@ def judge(docs: DataFrame) -> DataFrame:
     Null and empty texts have no words and fail.  Rows that repeat a doc_id are judged each.  Columns of
     ``docs`` with one of these names are replaced.
     """
-    ratios = F.split(F.lit(",".join(map(str, log_ratios(docs)))), ",").cast("array<double>")  # folded to one literal
+    found = scores(docs)
     m = measures(docs)
     m = m.withColumn("word_chars", F.aggregate("words", F.lit(0), lambda a, w: a + F.length(w)).cast("long"))
     m = m.withColumn("n_repeat_words", repeated_words(F.col("words")))
-    total = common.let(_ngrams(F.col("words")), lambda g: F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(ratios, b)) / F.greatest(F.size(g), F.lit(1)))
-    m = m.withColumn("score", F.round(total, 6))
     m = m.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * REPEAT_PERCENT))
-    m = m.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= THRESHOLD))
-    return m
+    named = m.select(F.xxhash64("text").alias("_key"), F.struct(*[c for c in m.columns if c not in ("words", "score", "kept")]).alias("_row"))
+    joined = named.join(found.withColumnRenamed("key", "_key"), "_key", "left").select("_row.*", F.coalesce(F.col("score"), F.lit(0.0)).alias("score"))
+    return joined.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= THRESHOLD))
 
 
 _RESULT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]

@@ -107,6 +107,18 @@ def test_quality(spark):
     assert quality.judge(docs.limit(0)).count() == 0
 
 
+def test_quality_verdicts_do_not_depend_on_corpus_size(spark):
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(20_000)]
+    bad = [" ".join(w + rng.choice(["$$$", "&&&", "###"]) for w in rng.choices(words, k=100)) for _ in range(40)]
+    good = [" ".join(rng.choices(words, k=150)) for _ in range(4_000)]
+    for n in (400, 4_000):
+        # as many bad texts for each good one at both sizes; the first four are looked at
+        texts = bad[: n // 100] + good[:n]
+        kept = {r.doc_id for r in quality.judge(frame(spark, texts)).where("kept").select("doc_id").collect()}
+        assert not kept & set(range(4)) and len(kept) == n, n
+
+
 # --- substrings -----------------------------------------------------------------------------------
 
 
