@@ -126,22 +126,22 @@ def _signed(x: np.ndarray) -> pa.Array:
 def _emit_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for piece in common.slices(batches, "text", _SLICE):
         b = Blocks(piece.column("text"))
-        docs = np.asarray(piece.column("doc_id"), dtype=np.int64)
+        docs, bodies = (np.asarray(piece.column(c), dtype=np.int64) for c in ("doc_id", "body"))
         # a block that repeats inside gets a second content, so that it is looked at window by window
         twice = b.repeating()
         h = np.concatenate((b.heads, b.heads[twice]))
         contents = np.concatenate((b.contents, ~b.contents[twice]))
-        yield pa.RecordBatch.from_arrays([_signed(b.anchors[h]), _signed(contents), pa.array(docs[b.text[h]]), pa.array(b.start[h].astype(np.int32))], names=["anchor", "content", "doc_id", "start"])
+        yield pa.RecordBatch.from_arrays([_signed(b.anchors[h]), _signed(contents), pa.array(docs[b.text[h]]), pa.array(bodies[b.text[h]]), pa.array(b.start[h].astype(np.int32))], names=["anchor", "content", "doc_id", "body", "start"])
 
 
 def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows of the blocks that a text's list of starts names."""
     for piece in common.slices(batches, "text", _SLICE):
         b = Blocks(piece.column("text"))
-        docs = np.asarray(piece.column("doc_id"), dtype=np.int64)
+        docs, bodies = (np.asarray(piece.column(c), dtype=np.int64) for c in ("doc_id", "body"))
         named = _marked(b, piece.column("mixed_starts"), b.start[b.heads], b.text[b.heads])
         pick = np.repeat(named, b.sizes)
-        yield pa.RecordBatch.from_arrays([_signed(b.anchors[pick]), _signed(b.windows[pick]), pa.array(docs[b.text[pick]]), pa.array(b.start[pick].astype(np.int32))], names=["anchor", "window", "doc_id", "start"])
+        yield pa.RecordBatch.from_arrays([_signed(b.anchors[pick]), _signed(b.windows[pick]), pa.array(docs[b.text[pick]]), pa.array(bodies[b.text[pick]]), pa.array(b.start[pick].astype(np.int32))], names=["anchor", "window", "doc_id", "body", "start"])
 
 
 def _marked(b: Blocks, lists: pa.ListArray, start: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -185,15 +185,17 @@ def deduplicate(docs: DataFrame, digest: bool = False, carry: bool = False) -> D
     """(doc_id, n_words, n_removed, kept): kept words joined by one space, or their digest.
 
     Null and empty texts have no words.  Documents are ordered by doc_id, rows without one come last.
-    A doc_id names one document: rows that repeat it count as the same place, so a repeated row does not
-    remove the words of its twin.  Other columns are ignored, or with ``carry`` kept in ``row``, with the
-    text as it was; an empty table gives no rows.
+    Rows with one doc_id, or none, and different texts are documents each, ordered by ``body``, the hash
+    of the text.  Rows that repeat both count as the same place, so a repeated row does not remove the
+    words of its twin.  Other columns are ignored, or with ``carry`` kept in ``row``, with the text as it
+    was; an empty table gives no rows.
     """
     common.ship(docs.sparkSession)
     last = F.lit((1 << 63) - 1)
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), last).alias("doc_id"), "text")
-    blocks = texts.mapInArrow(_emit_blocks, "anchor long, content long, doc_id long, start int").where("anchor IS NOT NULL AND doc_id IS NOT NULL")
-    place = F.struct("doc_id", "start")
+    own = [F.coalesce(F.col("doc_id").cast("long"), last).alias("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("body")]
+    texts = docs.select(*own, "text")
+    blocks = texts.mapInArrow(_emit_blocks, "anchor long, content long, doc_id long, body long, start int").where("anchor IS NOT NULL AND doc_id IS NOT NULL AND body IS NOT NULL")
+    place = F.struct("doc_id", "body", "start")
     # (conditions that Spark would infer for some branches stand here, so that all branches share one shuffle)
     # blocks whose anchor occurs again; all others are new text and need no further look
     repeated = blocks.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
@@ -202,22 +204,22 @@ def deduplicate(docs: DataFrame, digest: bool = False, carry: bool = False) -> D
     # anchors with more than one content: of each content the earliest block is looked at window by window
     several = firsts.groupBy("anchor").agg(F.count("place").alias("n")).where("n > 1").select("anchor")
     mixed_blocks = firsts.join(several, "anchor").select("place.*")
-    by_doc = mixed_blocks.groupBy("doc_id").agg(F.collect_list("start").alias("mixed_starts"))  # at most the blocks of one text
-    windows = texts.join(by_doc, "doc_id").mapInArrow(_emit_windows, "anchor long, window long, doc_id long, start int")
+    by_doc = mixed_blocks.groupBy("doc_id", "body").agg(F.collect_list("start").alias("mixed_starts"))  # at most the blocks of one text
+    windows = texts.join(by_doc, ["doc_id", "body"]).mapInArrow(_emit_windows, "anchor long, window long, doc_id long, body long, start int")
     new_windows = windows.groupBy("anchor", "window").agg(F.min(place).alias("place")).select("place.*")
     kinds = (firsts.select("place.*"), mixed_blocks, new_windows)
     # (always 0; made of the content so that this branch reads the same columns, and so the same shuffle, as the others)
-    marks = again.select("doc_id", "start", F.pmod(F.col("content"), F.lit(1)).cast("int").alias("kind"))
+    marks = again.select("doc_id", "body", "start", F.pmod(F.col("content"), F.lit(1)).cast("int").alias("kind"))
     for n, rows in enumerate(kinds, 1):
         marks = marks.unionByName(rows.withColumn("kind", F.lit(n)))
     starts = lambda k, name: F.collect_list(F.when(F.col("kind") == k, F.col("start"))).alias(name)
-    lists = marks.groupBy("doc_id").agg(*[starts(k, f"{name}_starts") for k, name in enumerate(("again", "reference", "mixed", "window"))])
+    lists = marks.groupBy("doc_id", "body").agg(*[starts(k, f"{name}_starts") for k, name in enumerate(("again", "reference", "mixed", "window"))])
     schema = "doc_id long, n_words long, n_removed long, kept string"
     if carry:
         row = F.struct(*[c for c in docs.columns if c != "text"])
-        texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), last).alias("doc_id"), "text", row.alias("row"))
+        texts = docs.select(*own, "text", row.alias("row"))
         schema += f", text string, row {texts.schema['row'].dataType.simpleString()}"
-    joined = texts.join(lists, "doc_id", "left")
+    joined = texts.join(lists, ["doc_id", "body"], "left")
     out = joined.mapInArrow(lambda b: _parse(b, digest, carry), schema)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != last, F.col("doc_id")))
 

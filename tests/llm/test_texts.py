@@ -165,6 +165,19 @@ def test_substrings_without_or_with_equal_ids(spark):
     assert got == [(-1, 30), (5, 0), (5, 0)]
 
 
+def test_substrings_of_different_texts_with_one_id(spark):
+    rng = random.Random(2)
+    p, q, end, a, b = (prose(rng, 30) for _ in range(5))
+    texts = [p, p, q, f"{a} {p}", f"{b} {q} {end}", end]
+    got = {r.kept: (r.doc_id, r.n_removed) for r in rlz.deduplicate(frame(spark, texts[:5], [1, 5, 5, None, None])).collect()}
+    assert got == {p: (1, 0), "": (5, 30), q: (5, 0), a: (None, 30), f"{b} {end}": (None, 30)}
+    kept = sorted(r.text for r in rlz.keep_first(frame(spark, texts[:5], [1, 5, 5, None, None])).collect())
+    assert kept == sorted([p, q, a, f"{b} {end}"])
+    # among rows without an id, words stay once
+    left = " ".join(r.kept for r in rlz.deduplicate(frame(spark, texts[4:], [None, None])).collect())
+    assert sorted(left.split()) == sorted(f"{b} {q} {end}".split())
+
+
 # --- near copies ----------------------------------------------------------------------------------
 
 
