@@ -31,23 +31,36 @@ def library(name):
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
-def test_pieces_equal_the_library(name):
+def test_ids_of_texts_in_parts_equal_those_of_whole_texts(name, monkeypatch):
+    monkeypatch.setattr(tokens, "GROUP", 50)
+    monkeypatch.setattr(tokens, "parts_of", lambda text, of=tokens.parts_of: of(text, 20))
     random.seed(1)
-    letters = "abcdefghijklmnopqrstuvwxyzéèñßüöÄÉ' .,!0123456789\n"
-    texts = [*ODD, *("".join(random.choices(letters, k=random.randint(1, 200))) for _ in range(300))]
+    letters = "abcdefghijklmnopqrstuvwxyzéèñßüöÄÉ' .,!0123456789\n\u0301 a a a"
+    texts = [*ODD, *("".join(random.choices(letters, k=random.randint(1, 400))) for _ in range(300))]
     got = tokens.encoder(tokens.tokenizer_path(name)).encode(pa.array(texts))
     assert [x.tolist() for x in got] == [library(name)(t) for t in texts]
-
-
-def test_token_files(spark, docs, tmp_path):
-    repair.write_shards(docs, f"file://{tmp_path}/ids", tokens.tokenizer_path("word_bpe_49k.json"), 1, 1 << 16)
-    got = sorted(map(tuple, repair.read_shards(spark, f"file://{tmp_path}/ids").collect()))
-    encode, want, start = library("word_bpe_49k.json"), [], 0
-    for i, t in sorted((i * 7 % 50, t) for i, t in enumerate(ODD)):
-        ids = [*encode(t), 1]
-        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
-        start += len(ids)
-    assert got == sorted(want)
+    assert max(len(tokens.parts_of(t or "")) for t in texts) > 5
+
+
+def test_token_files(spark, tmp_path):
+    ids = [i * 7 % 50 for i in range(len(ODD))]
+    ids[3], ids[4], ids[5] = None, None, ids[6]
+    rows = list(zip(ids, ODD, strict=True))
+    docs = spark.createDataFrame([(i, t, 1, "x", None) for i, t in rows], SCHEMA).repartition(3)
+    path = f"file://{tmp_path}/ids"
+    repair.write_shards(docs, path, tokens.tokenizer_path("word_bpe_49k.json"), 1, 1 << 16)
+    encode = library("word_bpe_49k.json")
+    coded = {t: [*encode(t), 1] for t in ODD}
+    got = sorted(map(tuple, repair.read_shards(spark, path).collect()), key=lambda r: r[1])
+    last = (1 << 63) - 1
+    assert [last if r[0] is None else r[0] for r in got] == sorted(last if i is None else i for i in ids)
+    assert all(a[1] + a[2] == b[1] for a, b in zip(got, got[1:], strict=False)) and got[0][1] == 0
+    summed = lambda t: zlib.crc32(np.array(coded[t], "<u4").tobytes())
+    assert sorted((r[0] or -1, r[2], r[3]) for r in got) == sorted((i or -1, len(coded[t]), summed(t)) for i, t in rows)
+    asked = [ids[10], ids[6], ids[0], 999]
+    found = sorted((r.doc_id, list(r.ids)) for r in repair.fetch(spark, path, asked, 2, 4500).collect())
+    assert found == sorted((i, coded[t][2:4500]) for i, t in rows if i in asked)
+    assert repair.fetch(spark, path, []).count() == 0
 
 
 def test_token_files_of_an_empty_table(spark, tmp_path):
@@ -55,16 +68,51 @@ def test_token_files_of_an_empty_table(spark, tmp_path):
     assert repair.read_shards(spark, f"file://{tmp_path}/none").count() == 0
 
 
-def test_grammar_round_trip_and_random_access():
-    rng = np.random.default_rng(3)
-    parts = [rng.choice([5, 5, 5, 6, 7], size=n).astype(np.uint32) for n in (0, 1, 4000, 2, 0, 9000, 1)]
-    data = repair.pack(np.arange(len(parts)), parts, 1 << 16)
-    shard = repair.Shard(data)
-    assert len(shard.rules) > 3 and len(shard.symbols) < 0.6 * sum(map(len, parts))
-    assert all(np.array_equal(a, b) for a, b in zip(shard.documents(), parts, strict=True))
-    assert all(np.array_equal(shard.document(i), p) for i, p in enumerate(parts))
-    with pytest.raises(ValueError):
-        repair.Shard(data[:-2])
+def plain_repair(parts):
+    """One pair at a time, the most frequent first, by definition."""
+    parts, n, rules = [list(p) for p in parts], 1 << 16, 0
+
+    def places(part):
+        found, at = defaultdict(list), 0
+        for at in range(len(part) - 1):
+            pair = (part[at], part[at + 1])
+            if not (found[pair] and pair[0] == pair[1] and found[pair][-1] == at - 1):
+                found[pair].append(at)
+        return found
+
+    while True:
+        counts = defaultdict(int)
+        for p in parts:
+            for pair, found in places(p).items():
+                counts[pair] += len(found)
+        best = max(counts, key=lambda x: (counts[x], x), default=None)
+        if best is None or counts[best] < repair.PAYS:
+            return sum(map(len, parts)) + 3 * rules
+        for p in parts:
+            for at in reversed(places(p).get(best, [])):
+                p[at : at + 2] = [n]
+        n, rules = n + 1, rules + 1
+
+
+def test_grammar_runs_to_its_end_and_gives_random_access():
+    rng = random.Random(3)
+    passage = [rng.randrange(500) for _ in range(300)]
+    for kinds in (1, 2, 5, 60):
+        parts = [np.array([rng.randrange(kinds) for _ in range(rng.choice([0, 1, 2, 30, 200]))], "<u4") for _ in range(8)]
+        parts += [np.array(passage[:250] + [7], "<u4") for _ in range(6)]
+        data = repair.pack([*range(len(parts) - 2), None, None], parts, 1 << 16)
+        shard = repair.Shard(data)
+        assert shard.doc_ids.to_pylist() == [*range(len(parts) - 2), None, None]
+        assert all(np.array_equal(a, b) for a, b in zip(shard.documents(), parts, strict=True))
+        for n, p in enumerate(parts):
+            a, b = rng.randint(0, len(p) + 1), rng.randint(0, len(p) + 2)
+            assert np.array_equal(shard.document(n), p) and np.array_equal(shard.part(n, a, b), p[a:b])
+        keys, counts = repair._pairs_of(shard.symbols.astype(np.uint64), shard.bounds[1:])
+        assert not len(repair._counted(keys[counts], repair.PAYS)[0])  # no pair pays any more
+        assert len(shard.symbols) + 3 * len(shard.rules) <= 1.1 * plain_repair(parts) + 5
+        assert shard.lengths.max() > 16
+        with pytest.raises(ValueError):
+            repair.Shard(data[:-2])
 
 
 def test_byte_bpe_equals_tiktoken_and_decodes(docs):
@@ -111,7 +159,20 @@ def test_plan_is_tight():
     for n in lengths:
         histogram[n] += 1
     rows = packing.plan(histogram)
-    assert int(max(rows[:, 2])) + 1 <= 1.01 * sum(lengths) / 2048 + 1
+    assert int(max(rows[:, 2] + rows[:, 3])) <= 1.01 * sum(lengths) / 2048 + 1
+
+
+def test_slots_unfold_every_range(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANGE", 3)
+    histogram = {5: 23, 3: 10, 2: 1, 10: 7}
+    rows = packing.plan(histogram, 10)
+    got = [tuple(r) for r in packing.slots(spark, rows).select("length", "rank", "sequence_id", "offset").collect()]
+    assert sorted(r[:2] for r in got) == sorted((n, k) for n, c in histogram.items() for k in range(c))
+    taken = defaultdict(int)
+    for length, _, sequence, offset in sorted(got, key=lambda r: (r[2], r[3])):
+        assert offset == taken[sequence]
+        taken[sequence] += length
+    assert max(taken.values()) <= 10 and packing.slots(spark, packing.plan({})).count() == 0
 
 
 def test_topk_against_brute_force(spark):
