@@ -7,9 +7,10 @@
 2. The histogram (at most ``capacity`` lengths, whatever the size of the input) goes to the driver,
    which packs counts: lengths from long to short, each to the fullest open sequences it fits in, as
    many at a time as there are.  The plan says, for ranges of ranks within a length, which sequences
-   and which offset they get.  It has at most one range for each pair of lengths.
+   and which offset they get.
 3. A piece's rank within its length is its rank in its task plus the counts of earlier tasks, so no
-   task ever holds all pieces of one length.  Pieces take the slots with their rank.
+   task ever holds all pieces of one length.  The plan's ranges are unfolded into slots on the executors,
+   and pieces take slots by a join on length and rank, of which each pair occurs once on either side.
 """
 
 from __future__ import annotations
@@ -20,12 +21,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common, tokens
 
 CAPACITY = 2048
+RANGE = 4096  # ranks that one row of the plan unfolds to at most
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank_in_task long"
 
 
@@ -56,7 +58,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity:
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
-    """Rows (length, first rank, first sequence, offset): ranks from there on take sequences from there on.
+    """Rows (length, first rank, ranks, first sequence, offset): these ranks take sequences from there on, one each.
 
     Best fit, decreasing: of the open sequences with room for a length, those with the least room.
     """
@@ -80,7 +82,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
                 full = max(1, left // each)
                 used = min(each, left)
                 for n in range(used):
-                    rows.append((length, rank, sequences, n * length))
+                    rows.append((length, rank, full, sequences, n * length))
                     rank += full
                 left -= full * used
                 leave(capacity - used * length, sequences, full)
@@ -91,28 +93,22 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
             if not groups[room]:
                 del groups[room], rooms[at]
             take = min(left, count)
-            rows.append((length, rank, first, capacity - room))
+            rows.append((length, rank, take, first, capacity - room))
             rank, left = rank + take, left - take
             leave(room - length, first, take)
             if take < count:
                 leave(room, first + take, count - take)
-    return np.array(rows, dtype=np.int64).reshape(-1, 4)
+    return np.array(rows, dtype=np.int64).reshape(-1, 5)
 
 
-def _place(batches: Iterator[pa.RecordBatch], rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-    order = np.lexsort((rows[:, 1], rows[:, 0]))
-    rows = rows[order]
-    for batch in batches:
-        length, rank = (np.asarray(batch.column(c), dtype=np.int64) for c in ("length", "rank"))
-        # searched by length first, then by rank
-        low, high = np.searchsorted(rows[:, 0], length, "left"), np.searchsorted(rows[:, 0], length, "right")
-        while (high - low > 1).any():
-            middle = (low + high) // 2
-            after = (high - low > 1) & (rows[middle, 1] <= rank)
-            low, high = np.where(after, middle, low), np.where(after | (high - low <= 1), high, middle)
-        sequence = rows[low, 2] + rank - rows[low, 1]
-        keep = [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
-        yield pa.RecordBatch.from_arrays([*keep, pa.array(sequence), pa.array(rows[low, 3])], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+def slots(spark: SparkSession, rows: np.ndarray) -> DataFrame:
+    """(length, rank, sequence_id, offset): one row for each place of the plan."""
+    names = ["length", "first", "n", "sequence", "offset"]
+    ranges = spark.createDataFrame(pa.table({name: rows[:, at] for at, name in enumerate(names)}))
+    starts = ranges.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(RANGE))).alias("from"))
+    dealt = starts.repartition("length", "first", "from")  # a range of any size spreads over tasks
+    each = dealt.select("*", F.explode(F.sequence("from", F.least(F.col("from") + RANGE, "n") - 1)).alias("at"))
+    return each.select("length", (F.col("first") + F.col("at")).alias("rank"), (F.col("sequence") + F.col("at")).alias("sequence_id"), "offset")
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
@@ -127,12 +123,11 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPAC
     pieces = common.stage(docs.select("doc_id", "text").mapInArrow(lambda b: _pieces(b, tokenizer, end_id, capacity), _PIECES), "pieces")
     counts = pieces.groupBy("task", "length").count()
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
-    planned = spark.sparkContext.broadcast(plan(histogram, capacity))
     earlier = F.sum("count").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("count")
     offsets = counts.withColumn("earlier", earlier).drop("count")
     ranked = pieces.join(offsets, ["task", "length"]).withColumn("rank", F.col("rank_in_task") + F.col("earlier"))
-    out = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
-    return out.mapInArrow(lambda b: _place(b, planned.value), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    placed = ranked.join(slots(spark, plan(histogram, capacity)), ["length", "rank"])
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op7_packing(spark, sf_dir: str) -> DataFrame:
