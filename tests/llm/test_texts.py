@@ -1,7 +1,9 @@
 """Brute-force versions of the text operators and of the pipeline's stages."""
 
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -89,22 +91,47 @@ def brute_measures(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered), failed
 
 
+def brute_scores(texts):
+    """Mean log ratios over pairs of shapes by definition, without hashes or buckets."""
+    grams, trusted = [], []
+    for t in texts:
+        t = t or ""
+        words = WORD.findall(t)
+        shapes = WORD.findall("".join("a" if c.isalpha() else "0" if c.isnumeric() else c for c in t))
+        shapes = [re.sub("(a|0)\\1+", r"\1", x) for x in shapes]
+        mine = ["again" if i + 1 < len(words) and words[i] == words[i + 1] else tuple(shapes[i : i + 2]) for i in range(len(words))]
+        n, _, symbols, lines, _, _ = brute_measures(t)
+        grams.append(mine)
+        trusted.append(n >= 20 and lines == 0 and symbols * 50 <= n and mine.count("again") * 50 <= n)
+    raw = Counter(g for m in grams for g in m)
+    target = Counter(g for m, ok in zip(grams, trusted, strict=True) if ok for g in m)
+    shares = {g: (target[g] / target.total()) / (n / raw.total()) for g, n in raw.items()} if target else {}
+    ratio = {g: math.log((1 - quality.FLOOR) * x + quality.FLOOR) for g, x in shares.items()}
+    return [sum(ratio.get(g, 0) for g in m) / max(1, len(m)) for m in grams]
+
+
 def test_quality(spark):
     rng = random.Random(4)
     texts = [None, "", " \n\t", "a", "a " * 9, "a b\n\na b\nc", "x y z " * 2000, prose(rng, 8) + " " + prose(rng, 8)]
     loop = prose(rng, 9)
     texts += [f"{loop} {prose(rng, 5)} {loop}\x0b{loop}", " ".join(w + "$$$" for w in prose(rng, 100).split())]
-    texts += [prose(rng, 100) for _ in range(40)]
-    texts.append(texts[-1])
-    got = {r.doc_id: r for r in quality.judge(frame(spark, texts)).collect()}
+    texts += [prose(rng, 100) for _ in range(40)] + ["Ünë, the 12 of May (1999).\nÉté ٣٤ x-y 日本 " * 3 + prose(rng, 60)]
+    texts += [" ".join(w for w in prose(rng, 30).split() for _ in range(5)), texts[-1]]
+    docs = frame(spark, texts).withColumn("buckets", F.lit(1)).withColumn("score", F.lit("s"))
+    got = {r.doc_id: r for r in quality.judge(docs).collect()}
+    scores = brute_scores(texts)
     for i, t in enumerate(texts):
-        r = got[i]
-        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute_measures(t), i
-    assert not got[9].kept and all(got[i].kept for i in range(10, len(texts)))
-    docs = frame(spark, texts)
+        r, base = got[i], brute_measures(t)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == base, i
+        assert abs(r.score - scores[i]) < 2e-4 and r.kept == (not base[-1] and scores[i] >= quality.THRESHOLD), i
+    assert [i for i in range(9, len(texts)) if not got[i].kept] == [9, 50, 51, 52]
     good = quality.keep_good(docs)
     assert good.columns == docs.columns and sorted(r.doc_id for r in good.collect()) == sorted(i for i in got if got[i].kept)
     assert quality.judge(docs.limit(0)).count() == 0
+    alone = quality.judge(frame(spark, texts[:5])).collect()
+    assert all(r.score == 0 and not r.kept for r in alone)
+    several = quality.judge(frame(spark, texts[8:11], [None, 7, 7])).collect()
+    assert sorted(r.n_words for r in several) == sorted(brute_measures(t)[0] for t in texts[8:11])
 
 
 def test_quality_verdicts_do_not_depend_on_corpus_size(spark):
