@@ -7,20 +7,23 @@
 3. Only (document, rule) pairs that pass some clause are verified with the rule's expression.  Rules
    without mandatory trigrams, such as plain hex runs, scan every text, before the join.
 
-Texts travel once, and only those that have any posting.  Everything runs as DataFrame expressions.
+Texts travel once, and only those in which some clause is whole.  Everything runs as DataFrame expressions.
 """
 
 from __future__ import annotations
 
+import operator
 import re._constants as sre
 import re._parser as sre_parser
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
+CHUNK = 1024
 _MOST = 64  # strings of one exact set, or clauses of one rule
 
 
@@ -157,31 +160,44 @@ def candidates(index: DataFrame, queries: dict[str, list[list[str]]]) -> DataFra
     return met.where("held = need").groupBy("doc_id").agg(F.collect_set("kind").alias("rules"))
 
 
+def scanned(values: Column, op) -> Column:
+    """For each element, ``op`` over it and all before it (a prefix scan) in passes of doubled reach.
+
+    A fold that keeps a list would copy it at each step, and one sum for each element starts anew; this
+    takes as many operations as elements times the passes that their number needs.
+    """
+
+    def grown(by: int):
+        # zip_with fills up at the end, so the scan runs from the end of the reversed array
+        both = lambda v: F.zip_with(v, F.slice(v, by + 1, F.size(v)), lambda x, y: F.coalesce(op(x, y), x))
+        return lambda v: F.when(F.size(v) > by, both(v)).otherwise(v)
+
+    out = F.reverse(values)
+    for n in range(27):  # a text of 2 GB has fewer matches than 2 ** 27
+        out = common.let(out, grown(1 << n))
+    return F.reverse(out)
+
+
 def spans(text: Column, rule: Rule, rank: int) -> Column:
     """Spans of a rule's matches, in code points, from the lengths of matches and of the gaps between them."""
     pattern = F.lit(rule.pattern)
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    measured = F.regexp_extract_all(text, pattern, F.lit(rule.measured)) if rule.measured else None
-    total = lambda parts, n: F.aggregate(F.slice(parts, 1, n), F.lit(0), lambda a, x: a + F.length(x))
-
-    def placed(matches: Column, gaps: Column) -> Column:
-        def one(i: Column) -> Column:
-            start = total(gaps, i) + total(matches, i - 1)
-            return F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), (start + F.length(F.element_at(matches, i))).alias("end"))
-
-        return F.transform(F.sequence(F.lit(1), F.size(matches)), one)
+    matches = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda m: F.length(m))
+    measured = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.measured)), lambda m: F.length(m)) if rule.measured else None
+    none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
 
-    def kept(matches: Column) -> Column:
-        every = common.let(F.split(text, rule.pattern, -1), lambda gaps: placed(matches, gaps))
+    def placed(m: Column) -> Column:
+        gaps = F.transform(F.split(text, rule.pattern, -1), lambda g: F.length(g))
+        steps = F.zip_with(F.slice(gaps, 1, F.size(m)), m, lambda gap, match: gap + match)
+        span = lambda n, end: F.struct((end - n).alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end"))
+        every = F.zip_with(m, scanned(steps, lambda x, y: x + y), span)
         if not rule.least:
             return every
         if measured is None:
             return F.filter(every, lambda s: s["end"] - s["start"] >= rule.least)
-        enough = common.let(measured, lambda m: F.filter(F.transform(every, lambda s, i: F.struct(s.alias("span"), F.length(F.get(m, i)).alias("n"))), lambda x: x["n"] >= rule.least))
-        return F.transform(enough, lambda x: x["span"])
+        enough = F.zip_with(every, measured, lambda s, n: F.when(n >= rule.least, s))
+        return F.filter(enough, lambda s: s.isNotNull())
 
-    none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
-    return common.let(found, lambda matches: F.when(F.size(matches) == 0, none).otherwise(kept(matches)))
+    return common.let(matches, lambda m: F.when(F.size(m) == 0, none).otherwise(placed(m)))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, carry: bool = False) -> DataFrame:
@@ -200,7 +216,9 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, carry: bool = False)
     none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
     if not grams:
         return texts.select("doc_id", F.array_sort(F.concat(none, *full)).alias("found"), *rest)
-    some = F.exists(F.array(*[F.contains("folded", F.lit(g)) for g in grams]), lambda x: x)
+    # texts in which no clause is whole can't be candidates and stay behind
+    clauses = [c for q in queries.values() for c in q]
+    some = reduce(operator.or_, [reduce(operator.and_, [F.contains("folded", F.lit(g)) for g in c]) for c in clauses])
     # (the column has another name: in a lambda, "text" would mean a column of that name made in the same select)
     left = texts.withColumn("folded", F.lower("text")).select("doc_id", F.when(some, F.col("text")).alias("held_text"), F.concat(none, *full).alias("always"), *rest)
     met = candidates(postings(texts, grams), queries).withColumnRenamed("doc_id", "met_id")
@@ -229,12 +247,22 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     found = scan(docs, rules, carry=True)
     text = F.col("row")["text"]
 
-    def step(acc: Column, s: Column) -> Column:
-        added = F.when(s["start"] < acc["at"], F.lit("")).otherwise(F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]")))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["text"], added).alias("text"))
+    def cleaned(chunks: Column, spans: Column) -> Column:
+        # pieces of CHUNK code points: a cut looks at its own pieces only, not at all that stands before
+        def cut(start: Column, end: Column) -> Column:
+            first = F.floor(start / CHUNK).cast("int")
+            part = F.array_join(F.slice(chunks, first + 1, F.floor((end - 1) / CHUNK).cast("int") - first + 1), "")
+            return F.when(end > start, F.substring(part, start - first * CHUNK + 1, end - start)).otherwise("")
+
+        def joined(reached: Column) -> Column:
+            before = lambda i: F.coalesce(F.get(reached, i - 1), F.lit(0))
+            piece = lambda s, i: F.when(s["start"] < before(i), "").otherwise(F.concat(cut(before(i), s["start"]), F.lit("["), s["kind"], F.lit("]")))
+            return F.concat(F.array_join(F.transform(spans, piece), ""), cut(F.element_at(reached, -1), F.length(text)))
+
+        return common.let(scanned(F.transform(spans, lambda s: s["end"]), F.greatest), joined)
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
-    clean = F.aggregate("found", start, step, lambda acc: F.concat(acc["text"], F.substring(text, acc["at"] + 1, F.length(text))))
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    clean = common.let(chunks, lambda c: cleaned(c, F.col("found")))
     out = found.withColumn("clean", F.when(F.size("found") == 0, text).otherwise(clean))
     own = {"text": F.col("clean"), "n_chars": F.when(F.size("found") == 0, F.col("row")["n_chars"]).otherwise(F.length("clean").cast("long")) if "n_chars" in docs.columns else None}
     return out.select(*[own[c].alias(c) if c in own else F.col("row")[c].alias(c) for c in docs.columns])
