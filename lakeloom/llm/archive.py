@@ -197,10 +197,8 @@ def history(lines: DataFrame) -> DataFrame:
 
 
 def op10_warc(spark, sf_dir: str) -> DataFrame:
-    import uuid
-
     common.ship(spark)
-    path = f"{common.shared_dir(spark)}/lakeloom-warc-{uuid.uuid4().hex}"
+    path = common.new_path(spark, "warc")
     write(common.table(spark, sf_dir, "pages"), path)
     lines = common.stage(captures(spark, path), "captures")
     return history(lines).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp")

@@ -17,25 +17,59 @@ from pyspark.sql import functions as F
 SEPARATORS = r"[\x20\x09-\x0D]+"
 _ROOT = Path(__file__).resolve().parents[2]
 _shipped: set[str] = set()
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or the checkpoint folder of the context.
+
+    Where neither is set, a new folder on this machine will do in local mode (tests) only.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
     context = spark.sparkContext
     if not context.getCheckpointDir():
+        if not (context.master.startswith("local[") or context.master == "local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="lakeloom-"))
     return context.getCheckpointDir().rstrip("/")
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """A new place in the shared folder; ``release`` deletes what is there."""
+    path = f"{shared_dir(spark)}/lakeloom-{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lakeloom-{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _made.remove(path)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete staged tables that no later step reads."""
+    for t in tables:
+        if getattr(t, "staged_at", None) in _made:
+            _delete(t.sparkSession, t.staged_at)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables and files that operators left in the shared folder; their results can't be read any more."""
+    for path in list(_made):
+        _delete(spark, path)
 
 
 def ship(spark: SparkSession) -> None:

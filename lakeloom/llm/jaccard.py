@@ -90,7 +90,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = dict(zip(full, range(len(full)), strict=True))
         buckets = pa.array([made[at[n]] if n in at else None for n in range(len(sets))], pa.list_(pa.int64()))
         digests = pa.array([digest(s) if len(s) else None for s in sets], pa.binary())
-        yield pa.RecordBatch.from_arrays([piece.column("doc_id"), digests, buckets], names=["doc_id", "node", "buckets"])
+        yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("body"), digests, buckets], names=["doc_id", "body", "node", "buckets"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,36 +212,34 @@ def components(edges: DataFrame) -> DataFrame:
         if not loose:
             return current.select("node", F.col("lead").alias("root"))
         both = current.unionByName(current.select(F.col("lead").alias("node"), F.col("node").alias("lead")))
-        least = both.groupBy("node").agg(F.least(F.min("lead"), F.first("node")).alias("least"))
+        # (written, so that the join reads two plain shuffles, of which adaptive execution can split a hot node's)
+        least = common.stage(both.groupBy("node").agg(F.least(F.min("lead"), F.first("node")).alias("least")), "least")
         large = both.join(least, "node").where("lead > node").select(F.col("lead").alias("node"), F.col("least").alias("lead")).where("node <> lead").distinct()
         large = common.stage(large, "edges")
-        lower = large.groupBy("node").agg(F.min("lead").alias("least"))
+        lower = common.stage(large.groupBy("node").agg(F.min("lead").alias("least")), "least")
         small = large.join(lower, "node")
         moved = small.select(F.col("lead").alias("node"), F.col("least").alias("lead")).unionByName(small.select("node", F.col("least").alias("lead")))
-        current = common.stage(moved.where("node <> lead").distinct(), "edges")
+        before, current = current, common.stage(moved.where("node <> lead").distinct(), "edges")
+        common.drop(before, least, large, lower)
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id, n_links): the least doc_id of each document's component, and its near copies.
-
-    Two documents are linked if the Jaccard similarity of their shingle sets is at least 0.8; a component
-    is what links connect.  Documents without words (null, empty, blank) have no links and are their own
-    class.  Rows that repeat a doc_id, or have none, are documents each and count as copies; a class of
-    such rows alone has a null class_id.  Other columns are ignored; an empty table gives no rows.
-    """
+def classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, body, node, root, class_id, n_links) of each row: the hash of its text, the digest of its
+    shingles, the class's least digest, and what ``join`` gives.  Without words, node and root are null."""
     common.ship(docs.sparkSession)
-    texts = docs.select("doc_id", "text")
-    rows = common.stage(texts.mapInArrow(_sketch, "doc_id long, node binary, buckets array<long>"), "sketch")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("body"), "text")
+    rows = common.stage(texts.mapInArrow(_sketch, "doc_id long, body long, node binary, buckets array<long>"), "sketch")
     real = rows.where("node IS NOT NULL")
     # candidates go by eight bytes of a node's digest; two nodes of one short name only make more candidates
     short = F.xxhash64("node").alias("short")
     nodes = common.stage(real.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "nodes")
 
+    # (what many rows are joined to is written first: adaptive execution splits a hot key where both sides are plain shuffles)
     bands = real.select(short, F.explode("buckets").alias("bucket"))
-    shared = bands.groupBy("bucket").agg(F.min("short").alias("lead"), F.max("short").alias("last")).where("lead <> last").drop("last")
+    shared = common.stage(bands.groupBy("bucket").agg(F.min("short").alias("lead"), F.max("short").alias("last")).where("lead <> last").drop("last"), "shared")
     met = common.stage(bands.join(shared, "bucket").distinct(), "met")
-    near = met.groupBy("short").agg(F.min("lead").alias("near"))
-    sizes = near.groupBy("near").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    near = common.stage(met.groupBy("short").agg(F.min("lead").alias("near")), "near")
+    sizes = common.stage(near.groupBy("near").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")), "sizes")
     block = F.xxhash64("near", F.pmod(F.xxhash64("short", F.lit(1)), F.col("parts")))
     placed = common.stage(near.join(sizes, "near").select("short", block.alias("block")), "blocks")
 
@@ -262,20 +260,39 @@ def join(docs: DataFrame) -> DataFrame:
 
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select("node", "lead"))
-    classed = nodes.select("node", "rep", "copies").join(links, "node", "left").join(roots, "node", "left")
-    classed = classed.select("node", "rep", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    least = classed.groupBy("root").agg(F.min("rep").alias("class_id"))
-    classed = classed.join(least, "root").select("node", "class_id", "n_links")
-    out = rows.select("doc_id", "node").join(classed, "node", "left")
+    rooted = nodes.select("node", "rep", "copies").join(links, "node", "left").join(roots, "node", "left")
+    rooted = common.stage(rooted.select("node", "rep", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "rooted")
+    least = common.stage(rooted.groupBy("root").agg(F.min("rep").alias("class_id")), "least")
+    classed = common.stage(rooted.join(least, "root").select("node", "root", "class_id", "n_links"), "classed")
+    out = rows.select("doc_id", "body", "node").join(classed, "node", "left")
     alone = F.col("node").isNull()
-    return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("doc_id", "body", "node", "root", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """(doc_id, class_id, n_links): the least doc_id of each document's component, and its near copies.
+
+    Two documents are linked if the Jaccard similarity of their shingle sets is at least 0.8; a component
+    is what links connect.  Documents without words (null, empty, blank) have no links and are their own
+    class.  Rows that repeat a doc_id, or have none, are documents each and count as copies; a class of
+    such rows alone has a null class_id.  Other columns are ignored; an empty table gives no rows.
+    """
+    return classes(docs).select("doc_id", "class_id", "n_links")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each class, that of the least doc_id, with its columns; rows without an id stay."""
-    kept = join(docs).where("doc_id = class_id").select("doc_id").distinct()
-    chosen = docs.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return chosen.unionByName(docs.where("doc_id IS NULL"))
+    """One row of each class with its columns: that of the least doc_id (rows without one come last) and text hash.
+
+    So rows that repeat a doc_id with texts of different classes all stay.  Of rows that have the doc_id and
+    the text in common one stays.  Rows without words are classes of their own and stay.
+    """
+    last = F.lit((1 << 63) - 1)
+    place = F.struct(F.coalesce("doc_id", last).alias("_id"), F.col("body").alias("_body"))
+    chosen = common.stage(classes(docs).where("root IS NOT NULL").groupBy("root").agg(F.min(place).alias("p")).select("p.*"), "chosen")
+    named = docs.select(F.coalesce("doc_id", last).alias("_id"), F.xxhash64("text").alias("_body"), F.struct(*docs.columns).alias("_row"))
+    worded = lambda text: F.rlike(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))
+    one = named.where(worded(F.col("_row")["text"])).join(chosen, ["_id", "_body"]).dropDuplicates(["_id", "_body"])
+    return one.select("_row.*").unionByName(docs.where(~worded(F.col("text"))))
 
 
 def op8_jaccard(spark, sf_dir: str) -> DataFrame:

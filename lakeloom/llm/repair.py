@@ -26,7 +26,6 @@ endian).  Spark writes and reads it, on any file system, under its commit protoc
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -325,7 +324,7 @@ def fetch(spark: SparkSession, path: str, doc_ids: list[int], start: int = 0, st
 
 
 def op4_token_ids(spark, sf_dir: str) -> DataFrame:
-    path = f"{common.shared_dir(spark)}/lakeloom-ids-{uuid.uuid4().hex}"
+    path = common.new_path(spark, "ids")
     write_shards(common.table(spark, sf_dir, "documents"), path, tokens.tokenizer_path("word_bpe_49k.json"), end_id=1, first=1 << 16)
     return read_shards(spark, path)
 

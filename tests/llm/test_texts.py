@@ -52,6 +52,16 @@ def test_secret_spans(spark):
     assert secrets.scan(frame(spark, SECRETS).limit(0)).count() == 0
 
 
+def test_secrets_of_a_text_with_100_000_matches(spark):
+    text = " ".join(["é token=abcdef", "0123456789abcdef" * 2] * 50_000)
+    docs = frame(spark, [text])
+    got = secrets.scan(docs).select(F.size("found").alias("n"), F.element_at("found", -1).alias("last"), F.element_at("found", 49_999).alias("middle")).first()
+    want = brute_spans(text)
+    assert got.n == len(want) == 100_000 and tuple(got.last) == want[-1] and tuple(got.middle) == want[49_998]
+    clean = " ".join(["é [assign]", "[hex]"] * 50_000)
+    assert [r.text == clean for r in secrets.redact(docs).collect()] == [True]
+
+
 def test_trigram_queries_hold_for_all_matches():
     samples = {"assign": ["PASSWORD='abcdef'", "api_KEY:xxxxxx", "toKen = 123456"], "github": ["ghs_" + "x" * 36], "stripe": ["sk_live_" + "0" * 16], "pem": ["-----BEGIN PRIVATE KEY-----"], "jwt": ["eyJ" + "a" * 8 + ".eyJ" + "b" * 8 + "." + "c" * 8]}
     for kind, texts in samples.items():
@@ -248,6 +258,28 @@ def test_near_copies_against_brute_force(spark, monkeypatch):
     assert odd == [(-1, -1, 0), (-1, 4, 2), (4, 4, 2), (4, 4, 2)]
 
 
+def test_one_row_of_each_class_stays(spark):
+    rng = random.Random(3)
+    a, b, c = (prose(rng, 40) for _ in range(3))
+    texts = [a, a, b, c, c, c, None, "", "", b + " x"]
+    ids = [7, 7, 7, None, None, 9, 1, 1, None, None]
+    kept = sorted((r.doc_id or -1, r.text or "") for r in jaccard.keep_one(frame(spark, texts, ids)).collect())
+    assert kept == sorted([(7, a), (7, b), (9, c), (1, ""), (1, ""), (-1, "")])
+
+
+def test_staged_tables_go(spark):
+    from pathlib import Path
+
+    folder = Path(common.shared_dir(spark).removeprefix("file:"))
+    staged = common.stage(spark.range(3), "gone")
+    assert staged.count() == 3 and list(folder.glob("lakeloom-gone-*"))
+    common.drop(staged, spark.range(1))
+    assert not list(folder.glob("lakeloom-gone-*"))
+    common.stage(spark.range(3), "gone")
+    common.release(spark)
+    assert not list(folder.glob("lakeloom-*"))
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(i, i + 1) for i in range(1000, 1040)]
