@@ -4,16 +4,15 @@ Every component of a vector is a term; a vector's non-zero components are that t
 postings.  A block of candidates keeps its postings by term.  Each query row is sparse: only its
 non-zero terms are visited, and each visit scatters ``query weight x posting weight`` into a dense
 score array over the block.  A partition selection keeps the k best of the block, and the partial
-lists of all blocks and tasks are merged by rank.
+lists of all blocks are merged by rank.
 
-Queries are handled in blocks of at most ``query_block`` rows: only such a block is ever broadcast
-(``query_block x dimensions x 8`` bytes), whatever the size of the table.
+Candidates and queries are dealt into blocks, and each pair of blocks is one unit of work: a grid, in
+which a candidate is sent once for each block of queries and a query once for each block of candidates.
+Blocks are bounded in rows, so a task's memory is too, and nothing passes through the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -21,9 +20,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-QUERY_BLOCK = 8192
-CANDIDATE_BLOCK = 8192
+QUERY_BLOCK = 16384
+CANDIDATE_BLOCK = 65536  # at most; small tables get smaller blocks, so that all tasks have some
+PIECE = 8192  # candidates that are scored at a time
 _SCHEMA = "query_id long, vec_id long, score long"
+_LONG = (1 << 63) - 1
 
 
 def quantised(vectors: DataFrame, scale: int = 1024) -> DataFrame:
@@ -55,68 +56,64 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return near[np.lexsort((ids[near], -scores[near]))[:k]]
 
 
-def _score(batches: Iterator[pa.RecordBatch], query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+def _scores(query: np.ndarray, postings: list, n: int, exact: bool) -> np.ndarray:
+    """Inner products of one query with a block; beyond the range of a long, the range's end."""
+    scores = np.zeros(n, dtype=np.int64 if exact else object)
+    for term in np.flatnonzero(query[: len(postings)]):
+        at, weights = postings[term]
+        weight = query[term] if exact else int(query[term])
+        if len(at) == n:
+            scores += weight * weights
+        else:
+            scores[at] += weight * weights
+    return scores if exact else np.clip(scores, -_LONG - 1, _LONG).astype(np.int64)
+
+
+def _unit(candidates: pa.Table, queries: pa.Table, k: int) -> pa.Table:
+    """The k best candidates of one block for each query of one block."""
+    query_ids = np.asarray(queries.column("vec_id").combine_chunks(), dtype=np.int64)
+    rows = _matrix(queries.column("terms").combine_chunks())
     kept: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in query_ids]
-    for batch in batches:
-        for start in range(0, batch.num_rows, CANDIDATE_BLOCK):
-            piece = batch.slice(start, CANDIDATE_BLOCK)
-            ids = np.asarray(piece.column(0), dtype=np.int64)
-            block = _matrix(piece.column(1)).T.copy()
-            postings = [(at, row[at]) for row in block for at in (np.flatnonzero(row),)]
-            for q, (query_id, query) in enumerate(zip(query_ids, queries, strict=True)):
-                scores = np.zeros(len(ids), dtype=np.int64)
-                for term in np.flatnonzero(query[: len(postings)]):
-                    at, weights = postings[term]
-                    if len(at) == len(ids):
-                        scores += query[term] * weights
-                    else:
-                        scores[at] += query[term] * weights
-                others = np.flatnonzero(ids != query_id)
-                own, ranked = kept[q]
-                mine = others[best(scores[others], ids[others], k)]
-                all_scores, all_ids = np.concatenate((ranked, scores[mine])), np.concatenate((own, ids[mine]))
-                top = best(all_scores, all_ids, k)
-                kept[q] = (all_ids[top], all_scores[top])
-    for query_id, (ids, scores) in zip(query_ids, kept, strict=True):
-        if len(ids):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), query_id)), pa.array(ids), pa.array(scores)], names=["query_id", "vec_id", "score"])
-
-
-def exact_topk(candidates: DataFrame, queries: DataFrame, k: int = 10, query_block: int = QUERY_BLOCK) -> DataFrame:
+    for start in range(0, candidates.num_rows, PIECE):
+        piece = candidates.slice(start, PIECE).combine_chunks()
+        ids = np.asarray(piece.column("vec_id").combine_chunks(), dtype=np.int64)
+        block = _matrix(piece.column("terms").combine_chunks()).T.copy()
+        largest = max(1, *(abs(int(f(m))) for m in (rows, block) if m.size for f in (np.min, np.max)))
+        exact = largest**2 * max(1, len(block)) <= _LONG
+        postings = [(at, row[at] if exact else row[at].astype(object)) for row in block for at in (np.flatnonzero(row),)]
+        for q, (query_id, query) in enumerate(zip(query_ids, rows, strict=True)):
+            scores = _scores(query, postings, len(ids), exact)
+            others = np.flatnonzero(ids != query_id)
+            own, ranked = kept[q]
+            mine = others[best(scores[others], ids[others], k)]
+            all_scores, all_ids = np.concatenate((ranked, scores[mine])), np.concatenate((own, ids[mine]))
+            top = best(all_scores, all_ids, k)
+            kept[q] = (all_ids[top], all_scores[top])
+    found = [np.repeat(query_ids, [len(ids) for ids, _ in kept]), *(np.concatenate([x[n] for x in kept]) if kept else np.empty(0, np.int64) for n in (0, 1))]
+    return pa.table([pa.array(x, pa.int64()) for x in found], names=["query_id", "vec_id", "score"])
+
+
+def exact_topk(candidates: DataFrame, queries: DataFrame, k: int = 10, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best candidates of each query, its own id left out.
 
     Both inputs have ``vec_id`` and ``terms`` (see ``quantised``).  Rows that repeat a query's id
     count as one query, that of the smallest vector; repeated candidates are candidates each.  Shorter
-    vectors count as padded with zeros.  Empty inputs give no rows; further columns are ignored.
+    vectors count as padded with zeros.  Scores beyond a long are the end of its range.  Empty inputs
+    give no rows; further columns are ignored.
     """
     spark = candidates.sparkSession
     common.ship(spark)
-    asked = queries.groupBy("vec_id").agg(F.min("terms").alias("terms"))
-    found: list[DataFrame] = []
-    block: list = []
-
-    def search(rows: list) -> DataFrame:
-        width = max(len(r.terms) for r in rows)
-        matrix = np.zeros((len(rows), width), dtype=np.int64)
-        for at, row in enumerate(rows):
-            matrix[at, : len(row.terms)] = row.terms
-        shared = spark.sparkContext.broadcast((np.array([r.vec_id for r in rows], dtype=np.int64), matrix))
-        return candidates.select("vec_id", "terms").mapInArrow(lambda batches: _score(batches, *shared.value, k), _SCHEMA)
-
-    for row in asked.toLocalIterator():
-        block.append(row)
-        if len(block) == query_block:
-            found.append(common.stage(search(block), "topk"))  # frees the block before the next one
-            block = []
-    if block:
-        found.append(search(block))
-    if not found:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    merged = found[0]
-    for part in found[1:]:
-        merged = merged.unionByName(part)
+    asked = common.stage(queries.groupBy("vec_id").agg(F.min("terms").alias("terms")), "asked")
+    held = common.stage(candidates.select("vec_id", "terms", F.monotonically_increasing_id().alias("row")), "candidates")
+    n_queries, n_candidates, tasks = asked.count(), held.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wide = max(1, -(-n_queries // query_block))
+    long = max(1, -(-n_candidates // candidate_block), min(tasks, -(-n_candidates // PIECE)))
+    # dealt by row number, so that an id that many rows repeat spreads
+    left = held.select("vec_id", "terms", F.pmod(F.xxhash64("row"), F.lit(long)).cast("long").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(wide - 1))).alias("q"))
+    right = asked.select("vec_id", "terms", F.pmod(F.xxhash64("vec_id"), F.lit(wide)).cast("int").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(long - 1).cast("long"))).alias("c"))
+    found = left.groupBy("c", "q").cogroup(right.groupBy("c", "q")).applyInArrow(lambda a, b: _unit(a, b, k), _SCHEMA)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return merged.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op9_exact_topk(spark, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import zlib
 from collections import defaultdict
@@ -181,7 +182,7 @@ def test_topk_against_brute_force(spark):
     vectors += [(i + 300, v) for i, v in vectors[:20]] + [(400, None), (401, [1.0, None] * 4), (402, [float("nan")] * 8), (None, [1.0] * 8), (500, [2.0] * 8)]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").selectExpr("*", "1 AS score", "2 AS rank")
     v = topk.quantised(df)
-    got = topk.exact_topk(v, v.where("vec_id % 100 = 0"), k=5, query_block=2).collect()
+    got = topk.exact_topk(v, v.where("vec_id % 100 = 0"), k=5, query_block=2, candidate_block=50).collect()
     ok = {i: np.floor(1024 * np.array(e, dtype=np.float32).astype(float)).astype(int) for i, e in vectors if i is not None and e and None not in e and not np.isnan(e).any()}
     want = []
     for q in (i for i in ok if i % 100 == 0):
@@ -191,6 +192,22 @@ def test_topk_against_brute_force(spark):
     assert topk.exact_topk(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_topk_of_repeated_ids_and_huge_components(spark):
+    inf, big = float("inf"), 3e38
+    rows = [(0, [1.0, -1.0]), (0, [2.0, 0.0]), (1, [inf, 1.0]), (2, [big, 0.0]), (3, [-big, big]), (4, [1.0]), (5, []), (5, [0.5, 0.5]), (5, [0.5, 0.5]), (100, [-big, -big])]
+    v = topk.quantised(spark.createDataFrame([(i, x, "c", 1) for i, x in rows], "vec_id long, embedding array<float>, terms string, row int"))
+    got = [tuple(r) for r in topk.exact_topk(v, v.where("vec_id % 100 = 0"), k=20).collect()]
+    ends = -(1 << 63), (1 << 63) - 1
+    whole = lambda x: min(max(math.floor(1024 * x), ends[0]), ends[1])
+    terms = [(i, [whole(float(np.float32(c))) for c in x]) for i, x in rows if inf not in x]
+    want = []
+    for q, query in ((0, terms[0][1]), (100, terms[-1][1])):
+        product = lambda t: min(max(sum(a * b for a, b in zip(query, t, strict=False)), ends[0]), ends[1])  # noqa: B023, E731
+        scored = sorted((-product(t), i) for i, t in terms if i != q)
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
+    assert sorted(got) == sorted(want)
+
+
 def test_archives(spark, tmp_path):
     same, long = "s" * 100, "é\r\n\r\nWARC/1.0\r\n" * 5000
     html = [same, None, "", same, "s" * 99, "s" * 99, long, long, "x" * 200, same]
