@@ -1,6 +1,7 @@
 """Brute-force versions of the token, packing, search and archive queries."""
 
 import base64
+import gzip
 import hashlib
 import math
 import random
@@ -214,7 +215,7 @@ def test_archives(spark, tmp_path):
     urls = ["http://b.example.com/2", "https://www.A.example.com/?q=1", None, "not a url", "http://a.example.com:8080/x\r\ny", "http://[bad", *["http://h.org/"] * 4]
     rows = [(i * 3 % 10, u, h, "q") for i, (h, u) in enumerate(zip(html, urls, strict=True))]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, refers_to string")
-    archive.write(pages, f"file://{tmp_path}/w")
+    archive.write(pages, f"file://{tmp_path}/w", file_bytes=900)
     lines = archive.captures(spark, f"file://{tmp_path}/w")
     first = {}
     for i, _, h, _ in sorted(rows, key=lambda r: r[0]):
@@ -225,6 +226,12 @@ def test_archives(spark, tmp_path):
         refers = first[h or ""] if len(data) >= 100 and first[h or ""] != i else None
         want.append((i, len(data), hashlib.sha256(data).hexdigest(), "response" if refers is None else "revisit", refers))
     ordered = archive.history(lines).collect()
+    # a record is read from its offset alone, and a file is a gzip file like any other
+    for r in lines.collect():
+        data = next(tmp_path.glob(f"w/{r.run}")).read_bytes()
+        found = list(archive.parse(data[r.offset : r.offset + r.length]))
+        assert len(found) == 1 and found[0][2]["x-page-id"] == str(r.page_id) and len(data) < 3000
+        assert gzip.decompress(data).startswith(b"WARC/1.0\r\n")
     assert sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in ordered) == sorted(want)
     keys = [(r.url_key, r.timestamp, r.page_id) for r in ordered]
     assert keys == sorted(keys) and len(keys) == len(rows)
@@ -232,6 +239,24 @@ def test_archives(spark, tmp_path):
     assert archive.history(archive.captures(spark, f"file://{tmp_path}/none")).count() == 0
 
 
+def test_archives_of_repeated_and_null_ids(spark, tmp_path):
+    long, other = "p" * 150, "q" * 150
+    rows = [(3, "http://b.org/", long), (3, "http://b.org/", long), (None, "http://a.org/", long), (None, "http://a.org/", long), (5, "http://c.org/", long), (3, "http://d.org/", other), (5, None, other)]
+    pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, row string")
+    archive.write(pages, f"file://{tmp_path}/w")
+    got = sorted((r.page_id or -1, r.payload_digest, r.record_type, r.refers_to or -1) for r in archive.history(archive.captures(spark, f"file://{tmp_path}/w")).collect())
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert got == sorted((i or -1, digest(h), "revisit" if i == 5 else "response", 3 if i == 5 else -1) for i, _, h in rows)
+    ids = [head["warc-record-id"] for file in tmp_path.glob("w/*/*.txt") for _, _, head, _ in archive.parse(file.read_bytes())]
+    assert len(set(ids)) == len(rows)
+
+
+def test_gzip_members_end_with_zero():
+    for n in (1, 100, 1 << 24, (1 << 24) + 5):
+        data = archive.member(b"x" * n) + b"\0"
+        assert gzip.decompress(data) == b"x" * n
+
+
 def test_loser_tree():
     rng = random.Random(1)
     for k in (0, 1, 2, 3, 7, 16):
