@@ -196,23 +196,35 @@ def test_substrings_against_brute_force(spark):
     assert rlz.keep_first(docs).columns == docs.columns and rlz.deduplicate(docs.limit(0)).count() == 0
 
 
-def test_substrings_without_or_with_equal_ids(spark):
-    text = prose(random.Random(1), 30)
-    got = sorted((r.doc_id or -1, r.n_removed) for r in rlz.deduplicate(frame(spark, [text] * 3, [5, 5, None])).collect())
-    assert got == [(-1, 30), (5, 0), (5, 0)]
-
-
-def test_substrings_of_different_texts_with_one_id(spark):
+def test_factors_have_sources(spark):
+    rng = random.Random(9)
+    p, q = prose(rng, 60), prose(rng, 50)
+    texts = [f"{prose(rng, 30)} {p} {prose(rng, 30)}", f"{q} {prose(rng, 10)}", f"{prose(rng, 5)} {p} {q} {prose(rng, 25)}", f"{p} {prose(rng, 9)}"]
+    words = [t.split() for t in texts]
+    rows = {r.doc_id: r for r in rlz.deduplicate(frame(spark, texts), spans=True).collect()}
+    for i, r in rows.items():
+        covered = set()
+        for f in r.factors:
+            assert f.words >= 20
+            covered |= set(range(f.start, f.start + f.words))
+            if f.source_start is not None:  # the words at the source are the same
+                assert f.source_id < i and words[f.source_id][f.source_start : f.source_start + f.words] == words[i][f.start : f.start + f.words]
+        assert len(covered) == r.n_removed
+    assert rows[2].n_removed == 110 and {f.source_id for f in rows[2].factors} >= {0, 1}
+    assert max(f.words for f in rows[2].factors) > 30 and rows[3].n_removed == 60
+
+
+def test_substrings_of_rows_with_one_id_or_none(spark):
     rng = random.Random(2)
-    p, q, end, a, b = (prose(rng, 30) for _ in range(5))
-    texts = [p, p, q, f"{a} {p}", f"{b} {q} {end}", end]
-    got = {r.kept: (r.doc_id, r.n_removed) for r in rlz.deduplicate(frame(spark, texts[:5], [1, 5, 5, None, None])).collect()}
-    assert got == {p: (1, 0), "": (5, 30), q: (5, 0), a: (None, 30), f"{b} {end}": (None, 30)}
-    kept = sorted(r.text for r in rlz.keep_first(frame(spark, texts[:5], [1, 5, 5, None, None])).collect())
-    assert kept == sorted([p, q, a, f"{b} {end}"])
-    # among rows without an id, words stay once
-    left = " ".join(r.kept for r in rlz.deduplicate(frame(spark, texts[4:], [None, None])).collect())
-    assert sorted(left.split()) == sorted(f"{b} {q} {end}".split())
+    same, p, q, end, a, b, z = (prose(rng, 30) for _ in range(7))
+    got = sorted((r.doc_id or -1, r.n_removed) for r in rlz.deduplicate(frame(spark, [same] * 4, [5, 5, None, None])).collect())
+    assert got == [(-1, 30), (-1, 30), (5, 0), (5, 30)]
+    texts, ids = [p, p, q, z, f"{a} {p}", f"{b} {q} {end}", end], [1, 5, 5, 5, None, None, None]
+    kept = sorted(((r.doc_id or -1, r.kept) for r in rlz.deduplicate(frame(spark, texts, ids)).collect()))
+    among = [(-1, a), (-1, f"{b} {end}"), (-1, "")], [(-1, a), (-1, b), (-1, end)]  # the rows without id are in the table's order
+    assert kept in [sorted([(1, p), (5, ""), (5, q), (5, z), *rest]) for rest in among]
+    left = sorted(r.text for r in rlz.keep_first(frame(spark, texts, ids)).collect())
+    assert left in [sorted([p, q, z, *(t for _, t in rest if t)]) for rest in among]
 
 
 # --- near copies ----------------------------------------------------------------------------------
