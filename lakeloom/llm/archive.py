@@ -134,6 +134,7 @@ def member(record: bytes) -> bytes:
     return (data if data[-1] == 0 else data + _EMPTY)[:-1]
 
 
+@common.tidy
 def _members(batches: Iterator[pa.RecordBatch], file_bytes: int) -> Iterator[pa.RecordBatch]:
     file, size, number = 0, 0, 0
     for piece in (p for b in batches for p in common.slices(iter([b]), "record")):
@@ -187,6 +188,7 @@ def parse(data: memoryview | bytes) -> Iterator[tuple[int, int, dict[str, str],
         yield start, at - start, headers, rest[:size]
 
 
+@common.tidy
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [f.split(" ")[0] for f in _CAPTURES.split(", ")]
     kinds = [pa.string() if f.endswith("string") else pa.int64() for f in _CAPTURES.split(", ")]
@@ -216,6 +218,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield made(rows)
 
 
+@common.tidy
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pieces of sorted runs, one run after the other, merged."""
     parts = [b for b in batches if b.num_rows]

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 from pathlib import Path
 
 import pyarrow as pa
@@ -97,7 +99,22 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def tidy(work: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """Let a task's Python worker, which Spark keeps for later tasks, give free memory back when its part is done."""
+
+    @wraps(work)
+    def run(*args, **more) -> Iterator:
+        try:
+            yield from work(*args, **more)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+                trim(0)
+
+    return run
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the texts of one piece hold about ``limit`` bytes (one row at least)."""
     for batch in batches:
         column_at = batch.schema.get_field_index(column)

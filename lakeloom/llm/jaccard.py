@@ -37,6 +37,7 @@ NUMERATOR, DENOMINATOR = 4, 5  # threshold 0.8
 STEP = 16  # MinHash values compared at a time
 TOLERANCE = 1e-7
 BLOCK = 256
+SLICE = 1 << 19  # bytes of text at a time; hashing takes some fifty times as much memory
 _A = rlz.mixed(np.arange(7000, 7000 + HASHES, dtype=np.uint64)) | np.uint64(1)
 _B = rlz.mixed(np.arange(9000, 9000 + HASHES, dtype=np.uint64))
 
@@ -82,8 +83,9 @@ def buckets_of(values: np.ndarray) -> np.ndarray:
     return out
 
 
+@common.tidy
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for piece in common.slices(batches, "text", 2 << 20):
+    for piece in common.slices(batches, "text", SLICE):
         sets = shingle_sets(piece.column("text"))
         full = [n for n, s in enumerate(sets) if len(s)]
         made = buckets_of(signatures([sets[n] for n in full])).view(np.int64)
@@ -93,9 +95,10 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("body"), digests, buckets], names=["doc_id", "body", "node", "buckets"])
 
 
+@common.tidy
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingles and MinHash values of the texts whose digest is that of the node they are taken for."""
-    for piece in common.slices(batches, "text", 2 << 20):
+    for piece in common.slices(batches, "text", SLICE):
         sets = shingle_sets(piece.column("text"))
         right = [n for n, (s, node) in enumerate(zip(sets, piece.column("node").to_pylist(), strict=True)) if len(s) and digest(s) == node]
         taken = piece.take(pa.array(right, pa.int64()))

@@ -38,6 +38,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return list(zip(starts, [b - a for a, b in zip(starts, [*starts[1:], n], strict=True)], strict=True))
 
 
+@common.tidy
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
@@ -45,7 +46,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity:
     seen: dict[int, int] = {}
     names = [f.split(" ")[0] for f in _PIECES.split(", ")]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-    for batch in common.slices(batches, "text"):
+    for batch in common.slices(batches, "text", 1 << 20):
         rows = []
         for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text")), strict=True):
             data = np.append(ids, np.uint32(end_id)).astype("<u4").tobytes()

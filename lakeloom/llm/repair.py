@@ -234,6 +234,7 @@ def _batch(schema: str, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[k]) for c, k in zip(columns, kinds, strict=True)], names=list(names))
 
 
+@common.tidy
 def _write(batches: Iterator[pa.RecordBatch], path: str, end_id: int, first: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
@@ -275,6 +276,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, first:
     dealt.mapInArrow(lambda b: _write(b, tokenizer, end_id, first), _SHARDS).write.option("compression", "zstd").parquet(path)
 
 
+@common.tidy
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, number, data in zip(*(batch.column(c) for c in ("part", "number", "grammar")), strict=True):

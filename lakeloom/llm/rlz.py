@@ -39,7 +39,7 @@ from . import common
 
 WINDOW = 20
 GRAM = 4
-_SLICE = 3 << 20
+_SLICE = 1 << 20  # bytes of text at a time; hashing takes some fifty times as much memory
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -129,6 +129,7 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+@common.tidy
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as zstd frames, which travel in two thirds of the space."""
     pack = zstandard.ZstdCompressor(level=3).compress
@@ -165,6 +166,7 @@ def _nearest(anchors: np.ndarray, contents: np.ndarray, docs: np.ndarray, rows:
 _BLOCKS = "anchor long, content long, doc_id long, row long, start int, source_id long, source_start int"
 
 
+@common.tidy
 def _emit_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks to look up.  One that stands earlier among the texts at hand has its source already: it is named
     by its own place instead of its anchor, so that a passage in every document is no hot key."""
@@ -184,6 +186,7 @@ def _emit_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(made, names=[f.split(" ")[0] for f in _BLOCKS.split(", ")])
 
 
+@common.tidy
 def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows of the blocks that a text's list of starts names."""
     for piece in _unpacked(batches):
@@ -244,6 +247,7 @@ def factors(b: Blocks, copied_blocks: pa.ListArray, mixed: pa.ListArray, firsts:
     return text[heads], start[heads], sizes + WINDOW - 1, source[heads], origin[heads]
 
 
+@common.tidy
 def _parse(batches: Iterator[pa.RecordBatch], digest: bool, carried: bool, spans: bool) -> Iterator[pa.RecordBatch]:
     """Factor each text, and leave out the words that factors cover."""
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]

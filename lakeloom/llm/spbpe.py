@@ -93,6 +93,7 @@ def pieces_of(path: str) -> BytePieces:
     return _models[path]
 
 
+@common.tidy
 def _batches(batches: Iterator[pa.RecordBatch], path: str, digests: bool) -> Iterator[pa.RecordBatch]:
     model = pieces_of(path)
     for piece in common.slices(batches, "text"):

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-KEPT = 400_000
+KEPT = 200_000
 GROUP = 1 << 18
 #: White space other than space and newline, and the places where a cut before a space could change a pre-token.
 _UNCUTTABLE = "^ | $| [ \n]|\n |[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"

@@ -114,6 +114,7 @@ def known_features(texts: pa.Array, tables: tuple[Table, ...]) -> tuple[np.ndarr
     return every >> BITS, every & ((1 << BITS) - 1)
 
 
+@common.tidy
 def _strings(batches: Iterator[pa.RecordBatch], strong: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(letters, string, feature) of the strong features that the texts have."""
     seen: dict[tuple[int, str], int] = {}
@@ -171,6 +172,7 @@ def fit(rows: np.ndarray, columns: np.ndarray, labels: np.ndarray, other: tuple[
     return Model(w * odds, float(b))
 
 
+@common.tidy
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def lists(rows: np.ndarray, columns: np.ndarray, n: int) -> pa.Array:
         bounds = np.searchsorted(rows, np.arange(n + 1))
@@ -225,6 +227,7 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
 
+@common.tidy
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for piece in common.slices(batches, "text"):
         yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in ("doc_id", "held_out")), pa.array(model.score(piece.column("text")))], names=["doc_id", "held_out", "score"])
