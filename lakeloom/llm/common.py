@@ -68,10 +68,16 @@ def drop(*tables: DataFrame) -> None:
             _delete(t.sparkSession, t.staged_at)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all tables and files that operators left in the shared folder; their results can't be read any more."""
-    for path in list(_made):
-        _delete(spark, path)
+def made() -> list[str]:
+    """Places of tables and files that operators have left in the shared folder."""
+    return list(_made)
+
+
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete these (all) tables and files that operators left; results that need them can't be read any more."""
+    for path in made() if paths is None else paths:
+        if path in _made:
+            _delete(spark, path)
 
 
 def ship(spark: SparkSession) -> None:
