@@ -2,36 +2,59 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a DataFrame
 that is written as Parquet and read again as the next one's docs.  All but the last return the columns of
-documents; the last returns the pieces of packed sequences.
+documents; the last returns the pieces of packed sequences.  When a stage begins, the result of the one
+before has been written, so the tables that one worked with go.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from lakeloom.llm import common, jaccard, packing, quality, rlz, secrets, tokens
 
+_left: list[str] = []  # tables of the stage before
+
+
+def _stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    @wraps(work)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.release(spark, _left)
+        others = common.made()
+        out = work(spark, docs, sf_dir)
+        _left[:] = [path for path in common.made() if path not in others]
+        return out
+
+    return run
+
 
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules or the log-likelihood ratio reject go."""
     return quality.keep_good(docs)
 
 
+@_stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that of the least doc_id."""
     return jaccard.keep_one(docs)
 
 
+@_stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 20 words or more that stand earlier in the corpus are cut out."""
     return rlz.keep_first(docs)
 
 
+@_stage
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by their kind in brackets."""
     return secrets.redact(docs)
 
 
+@_stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their sequence and place."""
     return packing.pack(docs, tokens.tokenizer_path("byte_bpe_50k.json"))
