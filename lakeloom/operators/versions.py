@@ -18,6 +18,19 @@ def snapshot(log: DataFrame, key: list[str], ts: str, gone: str, at: int | None
     return live.select(*[F.col(c) if c in key else F.col(f"newest.`{c}`").alias(c) for c in log.columns if c not in (ts, gone)])
 
 
+def newest(log: DataFrame, key: list[str], ts: str) -> DataFrame:
+    """The newest version of each key, deleted or not, with all columns."""
+    values = [c for c in log.columns if c not in key]
+    last = log.groupBy(*key).agg(F.max_by(F.struct(*values), F.col(ts)).alias("last"))
+    return last.select(*[F.col(c) if c in key else F.col(f"last.`{c}`").alias(c) for c in log.columns])
+
+
+def last_of(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Of rows with one key the last, in the order of the rows."""
+    order = F.monotonically_increasing_id()
+    return newest(rows.withColumn("lakeloom_order", order), key, "lakeloom_order").drop("lakeloom_order")
+
+
 def overlay(base: DataFrame, buffer: DataFrame, key: list[str], gone: str) -> DataFrame:
     """A snapshot as its own transaction sees it: buffered rows replace stored ones."""
     kept = base.join(buffer.select(*key), key, "left_anti")

@@ -2,6 +2,10 @@
 
 Queries go to Catalyst as they are.  CREATE TABLE, CREATE INDEX, DROP, INSERT, UPDATE, DELETE and ANALYZE
 are carried out on versioned tables.  What Spark cannot analyse raises; nothing is dropped silently.
+
+An engine has a session of its own, so its views are not seen by others, in which values follow the rules of
+dynamically typed SQL: strings that look like numbers count as numbers, division by zero and casts of other
+strings give NULL, TRIM takes all white space, and ROUND without digits gives a whole number.
 """
 
 from __future__ import annotations
@@ -16,13 +20,53 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import versions
-from ..sources.versioned import GONE, TS, Conflict, VersionedTable
+from ..sources.versioned import GONE, Conflict, Folder, VersionedTable
 from .quantified import closing, rewrite, tokens
 from .strict import SqlError, UnsupportedSql, check_names, check_strict, engine_error
 
 _TYPES = {"INT": T.LongType(), "INTEGER": T.LongType(), "BIGINT": T.LongType(), "TEXT": T.StringType(), "STRING": T.StringType(), "VARCHAR": T.StringType(), "REAL": T.DoubleType(), "DOUBLE": T.DoubleType(), "FLOAT": T.DoubleType(), "BOOLEAN": T.BooleanType(), "DATE": T.DateType(), "TIMESTAMP": T.TimestampType()}
 
 
+#: Functions whose names in a query stand for these; they are inlined, so they run like built-in ones.
+_FUNCTIONS = (
+    r"lakeloom_trim(s STRING) RETURNS STRING RETURN regexp_replace(regexp_replace(s, '^\\s+', ''), '\\s+$', '')",
+    "lakeloom_round(x DOUBLE) RETURNS BIGINT RETURN CAST(round(x) AS BIGINT)",
+)
+
+
+def dynamic(sql: str) -> str:
+    """TRIM without a side and ROUND without digits by the functions above."""
+    toks = tokens(sql)
+    for i, t in enumerate(toks):
+        at = next((k for k in range(i + 1, len(toks)) if not toks[k].isspace()), None)
+        if t.lower() not in ("trim", "round") or at is None or toks[at] != "(":
+            continue
+        inner = toks[at + 1 : closing(toks, at)]
+        words = [x.upper() for x in inner if not x.isspace()]
+        if len(_split(inner)) == 1 and not (t.lower() == "trim" and (words[:1] and words[0] in ("LEADING", "TRAILING", "BOTH") or "FROM" in words)):
+            toks[i] = f"lakeloom_{t.lower()}"
+    return "".join(toks)
+
+
+def _sums_text(df: DataFrame, text: str) -> bool:
+    """Whether SUM or AVG of strings is asked for: the analysed plan has casts there that the text has not."""
+    made = re.findall(r"(?i)\b(?:sum|avg)\((?:distinct )?cast\(\S+ as double\)", df._jdf.queryExecution().analyzed().toString())
+    return len(made) > len(re.findall(r"(?i)\b(?:sum|avg)\s*\(\s*(?:distinct\s+)?cast\s*\(", text))
+
+
+def _starred(df: DataFrame, text: str) -> DataFrame:
+    """The result of SELECT * over a join, in which names that collide are qualified by their table."""
+    if len({c.lower() for c in df.columns}) == len(df.columns) or not re.match(r"(?is)\s*SELECT\s+\*\s+FROM\b", text):
+        return df
+    names = [c.lower() for c in df.columns]
+    output = df._jdf.queryExecution().analyzed().output()
+    made = []
+    for n, name in enumerate(df.columns):
+        qualifier = output.apply(n).qualifier()
+        made.append(f"{qualifier.last()}.{name}" if names.count(name.lower()) > 1 and qualifier.size() else name)
+    return df.toDF(*made)
+
+
 def _split(toks: list[str]) -> list[str]:
     """Texts between the commas of the outermost level."""
     parts, depth, current = [], 0, []
@@ -38,7 +82,15 @@ def _split(toks: list[str]) -> list[str]:
 
 class Engine:
     def __init__(self, spark: SparkSession, root: str, strict: bool = False):
-        self.spark, self.root, self.strict = spark, root, strict
+        self.root, self.strict = root, strict
+        self.spark = spark.newSession()
+        for name, value in spark.conf.getAll.items():
+            if spark.conf.isModifiable(name):
+                self.spark.conf.set(name, value)
+        self.spark.conf.set("spark.sql.ansi.enabled", "false")
+        self._named: set[str] = set()
+        for made in _FUNCTIONS:
+            self.spark.sql(f"CREATE TEMPORARY FUNCTION {made}")
 
     # --- tables -----------------------------------------------------------------------------
 
@@ -61,10 +113,14 @@ class Engine:
         return self._own(table).analyze()
 
     def _views(self, sql: str, txn: Txn | None = None) -> None:
+        """Views of the tables that a statement can name; one listing says which there are."""
+        there = set(Folder(self.spark, self.root).names(""))
         for name in set(re.findall(r"[A-Za-z_]\w*", sql)):
-            t = self.table(name)
-            if t.exists():
-                (txn.read(name) if txn else t.snapshot()).createOrReplaceTempView(name)
+            if name in there and self.table(name).exists():
+                (txn.read(name) if txn else self.table(name).snapshot()).createOrReplaceTempView(name)
+            elif name in self._named:
+                self.spark.catalog.dropTempView(name)
+            self._named.add(name) if name in there else self._named.discard(name)
 
     # --- queries ----------------------------------------------------------------------------
 
@@ -73,9 +129,18 @@ class Engine:
         if self.strict:
             check_strict(text)
         try:
-            ready = rewrite(text.strip().rstrip(";"))
+            ready = dynamic(rewrite(text.strip().rstrip(";")))
             self._views(ready, txn)
-            return check_names(self.spark.sql(ready, args=bound or None))
+            out = self.spark.sql(ready, args=bound or None)
+            if _sums_text(out, ready):  # which must fail where a string is no number
+                self.spark.conf.set("spark.sql.ansi.enabled", "true")
+                try:
+                    out = self.spark.sql(ready, args=bound or None)
+                finally:
+                    self.spark.conf.set("spark.sql.ansi.enabled", "false")
+            if self.strict and "outer(" in out._jdf.queryExecution().analyzed().toString():
+                raise UnsupportedSql("a correlated subquery is not supported")
+            return check_names(_starred(out, ready))
         except (PySparkException, Py4JJavaError) as error:
             raise engine_error(error) from error
 
@@ -133,7 +198,9 @@ class Engine:
         return [{"count": 0}]
 
     def _drop(self, text: str, txn, bound) -> list[dict]:
-        self._own(text.split()[-1]).drop()
+        name = text.split()[-1]
+        self._own(name).drop()
+        self.spark.catalog.dropTempView(name)
         return [{"count": 0}]
 
     def _analyze(self, text: str, txn, bound) -> list[dict]:
@@ -151,7 +218,7 @@ class Engine:
                 columns, rest = [c.strip() for c in inner.split(",")], "".join(toks[end + 1 :])
         if bad := set(columns) - set(table.schema.names):
             raise SqlError(f"unknown columns {sorted(bad)}")
-        rest = rewrite(rest)
+        rest = dynamic(rewrite(rest))
         self._views(rest, txn)
         try:
             rows = self.spark.sql(rest, args=bound or None)
@@ -175,14 +242,17 @@ class Engine:
     def _target(self, name: str, txn: Txn | None) -> DataFrame:
         return txn.read(name) if txn else self._own(name).snapshot()
 
-    def _hit(self, name: str, where: str | None, txn: Txn | None) -> DataFrame:
-        condition = rewrite(where) if where else "true"
+    def _hit(self, name: str, where: str | None, txn: Txn | None, bound: dict) -> DataFrame:
+        condition = dynamic(rewrite(where)) if where else "true"
         self._views(condition + " " + name, txn)
-        return self.spark.sql(f"SELECT * FROM {name} WHERE {condition}")
+        return self.spark.sql(f"SELECT * FROM {name} WHERE {condition}", args=bound or None)
 
     def _update(self, text: str, txn, bound) -> list[dict]:
         m = re.match(r"(?is)UPDATE\s+(\w+)\s+SET\s+(.*)$", text)
+        if not m:
+            raise SqlError("UPDATE needs a table and SET")
         table = self._own(m[1])
+        names = {n.lower(): n for n in table.schema.names}
         toks, depth, at = tokens(m[2]), 0, None
         for i, t in enumerate(toks):
             depth += (t == "(") - (t == ")")
@@ -193,22 +263,24 @@ class Engine:
         assigned = {}
         for part in _split(toks[:at]):
             name, _, value = part.partition("=")
-            assigned[name.strip()] = rewrite(value.strip())
+            assigned[names.get(name.strip().lower(), name.strip())] = dynamic(rewrite(value.strip()))
         if bad := set(assigned) - set(table.schema.names):
             raise SqlError(f"unknown columns {sorted(bad)}")
         if bad := set(assigned) & set(table.key):
             raise SqlError(f"key columns {sorted(bad)} can't be updated")
-        hit = self._hit(m[1], where, txn)
+        hit = self._hit(m[1], where, txn, bound)
         self._views(" ".join(assigned.values()), txn)
         hit.createOrReplaceTempView("lakeloom_hit")
         columns = ", ".join(f"CAST({assigned.get(f.name, f'`{f.name}`')} AS {f.dataType.simpleString()}) AS `{f.name}`" for f in table.schema.fields)
-        changed = self.spark.sql(f"SELECT {columns} FROM lakeloom_hit AS {m[1]}")
+        changed = self.spark.sql(f"SELECT {columns} FROM lakeloom_hit AS {m[1]}", args=bound or None)
         return [{"count": self._write(table, changed.withColumn(GONE, F.lit(False)), txn)}]
 
     def _delete(self, text: str, txn, bound) -> list[dict]:
         m = re.match(r"(?is)DELETE\s+FROM\s+(\w+)(?:\s+WHERE\s+(.*))?$", text)
+        if not m:
+            raise SqlError("DELETE FROM needs a table, without an alias, and WHERE")
         table = self._own(m[1])
-        return [{"count": self._write(table, self._hit(m[1], m[2], txn).withColumn(GONE, F.lit(True)), txn)}]
+        return [{"count": self._write(table, self._hit(m[1], m[2], txn, bound).withColumn(GONE, F.lit(True)), txn)}]
 
     # --- transactions and conveniences ------------------------------------------------------
 
@@ -223,12 +295,21 @@ class Engine:
     def select(self, table: str, where: str | None = None, **bound) -> list[dict]:
         return self.execute(f"SELECT * FROM {table}" + (f" WHERE {where}" if where else ""), **bound)
 
-    def update(self, table: str, values: dict[str, str], where: str | None = None) -> int:
+    def update(self, table: str, values: dict[str, str], where: str | None = None, **bound) -> int:
+        """Set columns to expressions; ``bound`` are the values of :name in them and in ``where``."""
         sets = ", ".join(f"{c} = {e}" for c, e in values.items())
-        return self.execute(f"UPDATE {table} SET {sets}" + (f" WHERE {where}" if where else ""))[0]["count"]
+        return self.execute(f"UPDATE {table} SET {sets}" + (f" WHERE {where}" if where else ""), **bound)[0]["count"]
+
+    def delete(self, table: str, where: str | None = None, **bound) -> int:
+        return self.execute(f"DELETE FROM {table}" + (f" WHERE {where}" if where else ""), **bound)[0]["count"]
 
-    def delete(self, table: str, where: str | None = None) -> int:
-        return self.execute(f"DELETE FROM {table}" + (f" WHERE {where}" if where else ""))[0]["count"]
+    def get_many(self, table: str, keys: list) -> DataFrame:
+        """The rows of some keys (of a table with one key column)."""
+        t = self._own(table)
+        return t.snapshot().where(F.col(t.key[0]).isin(list(keys)))
+
+    def exists(self, table: str, key) -> bool:
+        return bool(self.get_many(table, [key]).limit(1).count())
 
     def execute_many(self, statements: list[str]) -> list[list[dict]]:
         return [self.execute(s) for s in statements]
@@ -279,7 +360,7 @@ class Txn:
         if changes.where(" OR ".join(f"`{k}` IS NULL" for k in t.key)).limit(1).count():
             raise SqlError("a key column is null")
         path = f"{t.path}/data/pending-{uuid.uuid4().hex}"
-        changes.dropDuplicates(t.key).write.parquet(path)  # a fixed copy: later statements read what this one saw
+        versions.last_of(changes, t.key).write.parquet(path)  # a fixed copy: later statements read what this one saw
         fixed = self.engine.spark.read.schema(changes.schema).parquet(path)
         if name in self.buffers:
             fixed_all = self.buffers[name].join(fixed.select(*t.key), t.key, "left_anti").unionByName(fixed)
@@ -288,29 +369,45 @@ class Txn:
         self.buffers[name] = fixed_all
         return fixed.count()
 
+    def _validate(self, name: str) -> int:
+        """The version up to which nothing that was read or is written has changed; raises Conflict otherwise."""
+        t, version = self.engine.table(name), self.at[name]
+        now = t.manifest()["version"]
+        if now == version:
+            return now
+        since = t.log(now, after=version)
+        if name in self.whole:
+            clash = since
+        elif name in self.buffers:
+            clash = since.join(self.buffers[name].select(*t.key), t.key, "left_semi")
+        else:
+            clash = since.limit(0)
+        if clash.limit(1).count():
+            raise Conflict(f"{name} changed after version {version}")
+        for low, high in self.ranges.get(name, []):
+            key = t.key[0]
+            if since.where((F.col(key) >= F.lit(low)) & (F.col(key) < F.lit(high))).limit(1).count():
+                raise Conflict(f"{name}: a row in [{low}, {high}) changed after version {version}")
+        return now
+
     def commit(self) -> bool:
-        """Validate and publish; raises Conflict if another commit got in between."""
+        """Validate and publish; raises Conflict if a commit in between touched what this one read or writes.
+
+        A table is published on the version that was validated; where another commit has taken the next one
+        meanwhile, it is validated again.
+        """
         if not self.buffers:
             return True
-        for name, version in self.at.items():
-            t = self.engine.table(name)
-            if t.manifest()["version"] == version:
-                continue
-            since = t.log(after=version).where(F.col(TS) > version)
-            if name in self.whole:
-                clash = since
-            elif name in self.buffers:
-                clash = since.join(self.buffers[name].select(*t.key), t.key, "left_semi")
-            else:
-                clash = since.limit(0)
-            if clash.limit(1).count():
-                raise Conflict(f"{name} changed after version {version}")
-            for low, high in self.ranges.get(name, []):
-                key = t.key[0]
-                if since.where((F.col(key) >= F.lit(low)) & (F.col(key) < F.lit(high))).limit(1).count():
-                    raise Conflict(f"{name}: a row in [{low}, {high}) changed after version {version}")
+        valid = {name: self._validate(name) for name in self.at}
         for name, rows in self.buffers.items():
-            self.engine.table(name).commit(rows)
+            while True:
+                try:
+                    self.engine.table(name).commit(rows, read_version=valid[name])
+                    break
+                except Conflict:
+                    if self.engine.table(name).manifest()["version"] == valid[name]:
+                        raise
+                    valid[name] = self._validate(name)
         self.buffers = {}
         return True
 

@@ -1,18 +1,24 @@
 """Versioned tables on immutable Parquet files.
 
 A table is a folder.  Each commit adds a folder of changed rows (with ``commit_ts`` and ``deleted``) and then
-a manifest file whose name is the next version; creating that file fails if it is there, so of two
-writers one wins.  Data folders without a manifest are never read: a crash leaves no trace.  A snapshot is
-the newest row of each key at or before a version, without deleted ones.  Only changed rows are written;
-``compact`` rewrites what is left, and ``vacuum`` drops versions that nobody may read any more.
+a manifest file whose name is the next version.  The manifest is written aside and then named, which fails
+if the name is taken: of two writers one wins, and no reader sees half a manifest.  (Naming is a hard link on
+a local file system and a rename without overwrite elsewhere, which is atomic on HDFS; an object store needs a
+committer that refuses to overwrite.)  Data folders without a manifest are never read: a crash leaves no
+trace.  A snapshot is the newest row of each key at or before a version, without deleted ones.  Only changed
+rows are written; ``compact`` leaves the newest row of each key, with the version that wrote it, and
+``vacuum`` drops versions that nobody may read any more.
 """
 
 from __future__ import annotations
 
 import json
+import operator
 import time
 import uuid
+from functools import reduce
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,16 +43,31 @@ class Folder:
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
     def create(self, name: str, text: str) -> None:
-        path = self._path(name)
+        """A new file with this text, all at once; Conflict if the name is taken."""
+        path, aside = self._path(name), self._path(f"{name}.{uuid.uuid4().hex}.tmp")
         fs = path.getFileSystem(self.conf)
+        out = fs.create(aside, False)
+        out.write(bytearray(text.encode()))
+        out.close()
         try:
-            out = fs.create(path, False)
+            if fs.getScheme() == "file":
+                files, paths = self.jvm.java.nio.file.Files, self.jvm.java.nio.file.Paths
+                files.createLink(paths.get(path.toUri().getPath(), self._strings()), paths.get(aside.toUri().getPath(), self._strings()))
+            else:
+                context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), self.conf)
+                context.rename(aside, path, self._options())
         except Exception as error:
             if fs.exists(path):
                 raise Conflict(f"{name} is there already") from error
             raise
-        out.write(bytearray(text.encode()))
-        out.close()
+        finally:
+            fs.delete(aside, False)
+
+    def _strings(self):
+        return SparkContext._active_spark_context._gateway.new_array(self.jvm.java.lang.String, 0)
+
+    def _options(self):
+        return SparkContext._active_spark_context._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0)
 
     def read(self, name: str) -> str:
         path = self._path(name)
@@ -143,11 +164,16 @@ class VersionedTable:
         return rows.select(*[(F.col(f"`{f.name}`") if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.schema.fields])
 
     def upsert(self, rows: DataFrame) -> int:
-        """Insert; a row with a key that is there replaces the old one.  Of equal keys in ``rows`` one is taken."""
+        """Insert; a row with a key that is there replaces the old one.  Of equal keys in ``rows`` the last is taken."""
         typed = self._typed(rows)
         if typed.where(" OR ".join(f"`{k}` IS NULL" for k in self.key)).limit(1).count():
             raise ValueError("a key column is null")
-        return self.commit(typed.dropDuplicates(self.key).withColumn(GONE, F.lit(False)))
+        changes = versions.last_of(typed, self.key).withColumn(GONE, F.lit(False))
+        while True:  # what it writes does not depend on what is there, so it only has to come after the others
+            try:
+                return self.commit(changes)
+            except Conflict:
+                continue
 
     def update(self, assignments: dict[str, str], where: str = "true") -> int:
         """SET from one state of each row; returns the number of rows.  Keys can't change."""
@@ -181,14 +207,16 @@ class VersionedTable:
             raise ValueError(f"unknown column {column}")
         self._publish(m | {"version": m["version"] + 1, "indexes": m["indexes"] | {name: column}})
 
-    def compact(self) -> int:
-        """Rewrite the snapshot as one folder; earlier versions can't be read from the new manifest on."""
+    def compact(self, forget: int = -1) -> int:
+        """Rewrite as one folder the newest row of each key, with its own version; earlier versions can't be
+        read from the new manifest on.  Deleted rows stay marked, so that open transactions see them go, but
+        for those deleted at or before version ``forget``."""
         m = self.manifest()
         version, path = m["version"] + 1, f"data/{m['version'] + 1:020d}-{uuid.uuid4().hex}"
-        rows = self.snapshot(m["version"])
+        rows = versions.newest(self.log(m["version"]), m["key"], TS).where(~F.col(GONE) | (F.col(TS) > forget))
         if m["indexes"]:
             rows = rows.sortWithinPartitions(*m["indexes"].values())
-        rows.withColumns({TS: F.lit(version).cast("long"), GONE: F.lit(False)}).write.parquet(f"{self.path}/{path}")
+        rows.write.parquet(f"{self.path}/{path}")
         return self._publish(m | {"version": version, "data": [{"path": path, "last": version}], "at": time.time()})
 
     def vacuum(self) -> int:
@@ -207,11 +235,13 @@ class VersionedTable:
         self.folder.delete("")
 
     def analyze(self) -> dict:
-        """Rows and, for each column, distinct values, nulls, least and greatest, in one pass."""
+        """Rows, their average bytes as text and, for each column, distinct values, nulls, least and greatest, in one pass."""
         names = self.schema.names
         exprs = [F.count(F.lit(1)).alias("rows")]
         for n in names:
             c = F.col(f"`{n}`")
             exprs += [F.approx_count_distinct(c).alias(f"{n}.ndv"), F.count_if(c.isNull()).alias(f"{n}.nulls"), F.min(c.cast("string")).alias(f"{n}.min"), F.max(c.cast("string")).alias(f"{n}.max")]
+        sizes = [F.coalesce(F.octet_length(F.col(f"`{n}`").cast("string")), F.lit(0)) for n in names]
+        exprs.append(F.avg(reduce(operator.add, sizes)).alias("row_bytes"))
         row = self.snapshot().agg(*exprs).first()
-        return {"rows": row["rows"], "columns": {n: {k: row[f"{n}.{k}"] for k in ("ndv", "nulls", "min", "max")} for n in names}}
+        return {"rows": row["rows"], "row_bytes": row["row_bytes"], "columns": {n: {k: row[f"{n}.{k}"] for k in ("ndv", "nulls", "min", "max")} for n in names}}
