@@ -25,8 +25,14 @@ def compare(a: Column, b: Column) -> Column:
 def siblings(versions: DataFrame, key: str = "key", clock: str = "clock") -> DataFrame:
     """Versions (id, key, clock, ...) that no other version of their key dominates; of equal ones the least id.
 
-    Versions of one key meet each other once; keys have as many versions as they have live writers.
+    Of versions with equal clocks one is kept first.  The others of one key meet each other once; a key has
+    as many different clocks as it has live writers.
     """
+    counted = F.map_filter(F.col(clock), lambda k, v: v != 0)
+    name = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(counted))))
+    values = [c for c in versions.columns if c != key]
+    one = versions.groupBy(key, name.alias("_name")).agg(F.min_by(F.struct(*values), F.col("id")).alias("_v"))
+    versions = one.select(*[F.col(c) if c == key else F.col(f"_v.`{c}`").alias(c) for c in versions.columns])
     a, b = versions.alias("a"), versions.alias("b")
     order = compare(F.col(f"a.{clock}"), F.col(f"b.{clock}"))
     beaten = (order == "BEFORE") | ((order == "EQUAL") & (F.col("a.id") > F.col("b.id")))

@@ -5,19 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import compat
 from ..operators import clocks, epochs, series, versions
+from ..plans.engine import Engine
 from ..sources.catalog import load
 from ..sources.versioned import VersionedTable
 
 
 def _root(spark: SparkSession) -> str:
     """A folder that executors share, for versioned tables and checkpoints of one query."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lakeloom-')}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = f"file://{tempfile.mkdtemp(prefix='lakeloom-')}"
     return f"{shared.rstrip('/')}/lakeloom-q-{uuid.uuid4().hex}"
 
 
@@ -93,7 +98,7 @@ def occ_conflicts(spark, sf):
 
 def range_conflicts(spark, sf):
     ranges = load(spark, sf, "events").where("event_type = 'signup'").selectExpr("event_id AS txn", "user_id AS low", "user_id + 5 AS high", "event_id AS read_ts")
-    commits = load(spark, sf, "events").where("event_type = 'error' AND event_id % 7 = 0").selectExpr("user_id AS key", "event_id AS commit_ts")
+    commits = load(spark, sf, "events").where("event_type = 'error'").selectExpr("user_id AS key", "event_id AS commit_ts")
     return versions.range_conflicts(ranges, commits, 16)
 
 
@@ -154,26 +159,70 @@ def ring_route(spark, sf):
 _RING = "SELECT 'node-' || n AS node, CAST(('0x' || substr(md5('node-' || n || ':' || v), 25, 8)) AS BIGINT) AS pos FROM range(5) a(n), range(150) b(v)"
 
 
-_CLOCKS = [(1, "k1", {"a": 1}, 1.0), (2, "k1", {"a": 2}, 2.0), (3, "k1", {"b": 1}, 1.5), (4, "k2", {"a": 1, "b": 1}, 1.0), (5, "k2", {"a": 1}, 9.0), (6, "k3", {"a": 1}, 1.0), (7, "k3", {"b": 1}, 2.0), (8, "k4", {"a": 0}, 1.0), (9, "k4", {}, 2.0)]
+def _versions(spark, sf) -> DataFrame:
+    """Each event as a version of its user, written by the node of its type, whose counter grows by a thousand events."""
+    clock = F.create_map("event_type", (F.floor(F.col("event_id") / 1000) + 1).cast("int"))
+    return load(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), clock.alias("clock"), "event_type", F.col("ts"))
 
 
-def _versions(spark) -> DataFrame:
-    return spark.createDataFrame(_CLOCKS, "id int, key string, clock map<string,int>, ts double")
+def _json(clock):
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(clock))))
 
 
 def vclock_compare(spark, sf):
-    v = _versions(spark)
-    a, b = v.alias("a"), v.alias("b")
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")))
-    return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), clocks.compare(F.col("a.clock"), F.col("b.clock")).alias("rel"), F.to_json(F.map_from_entries(F.array_sort(F.map_entries(clocks.merge(F.col("a.clock"), F.col("b.clock")))))).alias("merged"))
+    """Each version with the one before it of its key."""
+    before = F.lag("clock").over(Window.partitionBy("key").orderBy("id"))
+    pairs = _versions(spark, sf).withColumn("before", before).where("before IS NOT NULL")
+    return pairs.select("id", clocks.compare(F.col("before"), F.col("clock")).alias("rel"), _json(clocks.merge(F.col("before"), F.col("clock"))).alias("merged"), _json(clocks.increment(F.col("clock"), F.lit("view"))).alias("bumped"))
 
 
 def vclock_lww(spark, sf):
-    return clocks.last_writer(_versions(spark)).select("key", "id", F.col("n_siblings").cast("bigint").alias("n_siblings"))
+    return clocks.last_writer(_versions(spark, sf)).select("key", "id", F.col("n_siblings").cast("bigint").alias("n_siblings"))
 
 
 def siblings(spark, sf):
-    return clocks.siblings(_versions(spark)).select("key", "id")
+    return clocks.siblings(_versions(spark, sf)).select("key", "id")
+
+
+_VERSIONS = "SELECT event_id AS id, user_id AS key, event_type AS node, CAST(floor(event_id / 1000) + 1 AS BIGINT) AS n, ts FROM events"
+_SIBLINGS = f"SELECT key, node, min(id) AS id FROM ({_VERSIONS}) v WHERE n = (SELECT max(floor(event_id / 1000) + 1) FROM events e WHERE e.user_id = v.key AND e.event_type = v.node) GROUP BY 1, 2"
+
+
+def _engine(spark, sf) -> Engine:
+    engine = Engine(spark, _root(spark))
+    engine.execute("CREATE TABLE parties (id INTEGER PRIMARY KEY, name TEXT, balance REAL, code TEXT)")
+    rows = load(spark, sf, "supplier").selectExpr("s_suppkey AS id", "s_name AS name", "s_acctbal AS balance", "CASE WHEN s_suppkey % 4 = 0 THEN 'none' ELSE CAST(s_suppkey + 0.5 AS STRING) END AS code")
+    engine.table("parties").upsert(rows)
+    return engine
+
+
+def sql_dynamic_values(spark, sf):
+    return _engine(spark, sf).sql("SELECT id, balance / (id % 3) AS share, round(balance) AS whole, trim(concat(' \t', name, '\n')) AS bare, CAST(code AS INTEGER) AS number, code * 2 AS twice FROM parties WHERE code > 3e0 OR code = 'none'")
+
+
+def sql_any_value(spark, sf):
+    return _engine(spark, sf).sql("SELECT id, id = ANY (SELECT NULLIF(n_nationkey, 3) FROM parties JOIN (SELECT id AS n_nationkey FROM parties WHERE id < 9) n ON true WHERE id = 1) AS among, id > ALL (SELECT id FROM parties WHERE id < 5) AS above FROM parties")
+
+
+def sql_bound_update(spark, sf):
+    engine = _engine(spark, sf)
+    engine.execute("UPDATE parties SET NAME = :n, balance = balance * :f WHERE id % 3 = :r", n="it's", f=2, r=1)
+    engine.execute("DELETE FROM parties WHERE code = :c", c="none")
+    return engine.sql("SELECT id, name, balance FROM parties")
+
+
+def sql_last_wins(spark, sf):
+    engine = _engine(spark, sf)
+    engine.execute("INSERT INTO parties (id, name) VALUES (1, 'first'), (1, 'second'), (2, 'only'), (1, 'third')")
+    return engine.sql("SELECT id, name, balance FROM parties")
+
+
+def analyze_row_size(spark, sf):
+    found = _engine(spark, sf).analyze("parties")
+    return spark.createDataFrame([(found["rows"], round(found["row_bytes"], 6))], "n long, row_bytes double")
+
+
+_PARTIES = "SELECT s_suppkey AS id, s_name AS name, s_acctbal AS balance, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE s_suppkey + 0.5 END AS code FROM supplier"
 
 
 def quorum(spark, sf):
@@ -353,7 +402,7 @@ FRAMES = {
     "mvcc_snapshot": (mvcc_snapshot, f"SELECT key, arg_max(value, commit_ts) AS value FROM ({_LOG}) WHERE commit_ts <= 5000 GROUP BY key HAVING NOT arg_max(deleted, commit_ts)"),
     "mvcc_compact": (mvcc_compact, f"SELECT key, commit_ts FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY commit_ts DESC) AS r FROM ({_LOG})) WHERE r <= 3"),
     "occ_conflicts": (occ_conflicts, "SELECT event_id AS txn, user_id AS key, event_id AS read_ts, last_ts FROM events JOIN (SELECT user_id AS k, max(event_id) AS last_ts FROM events WHERE event_type = 'purchase' GROUP BY 1) ON user_id = k WHERE event_type = 'view' AND last_ts > event_id"),
-    "range_conflicts": (range_conflicts, "SELECT r.event_id AS txn, c.user_id AS key, r.event_id AS read_ts, c.event_id AS commit_ts FROM events r JOIN events c ON c.user_id >= r.user_id AND c.user_id < r.user_id + 5 AND c.event_id > r.event_id WHERE r.event_type = 'signup' AND c.event_type = 'error' AND c.event_id % 7 = 0"),
+    "range_conflicts": (range_conflicts, "SELECT r.event_id AS txn, c.user_id AS key, r.event_id AS read_ts, c.event_id AS commit_ts FROM events r JOIN events c ON c.user_id >= r.user_id AND c.user_id < r.user_id + 5 AND c.event_id > r.event_id WHERE r.event_type = 'signup' AND c.event_type = 'error'"),
     "overlay_reads": (overlay_reads, "SELECT c_custkey AS key, c_acctbal AS value FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier) UNION ALL SELECT s_suppkey, s_acctbal FROM supplier WHERE NOT s_acctbal < 2000"),
     "aria_ww": (aria_ww, "SELECT event_id AS txn, user_id AS key FROM events e WHERE event_type IN ('purchase', 'signup') AND event_id < (SELECT max(event_id) FROM events x WHERE x.user_id = e.user_id AND x.event_type IN ('purchase', 'signup'))"),
     "aria_rw": (aria_rw, "SELECT DISTINCT event_id AS txn, user_id AS key FROM events WHERE event_type NOT IN ('purchase', 'signup') AND user_id IN (SELECT user_id FROM events WHERE event_type IN ('purchase', 'signup'))"),
@@ -364,9 +413,14 @@ FRAMES = {
     "shard_skew": (shard_skew, "SELECT round(stddev_pop(n) / avg(n) * 100, 4) AS cv_percent, count(*) AS shards FROM (SELECT CAST(('0x' || substr(md5(c_name), 1, 8)) AS BIGINT) % 8 AS s, count(*) AS n FROM customer GROUP BY 1)"),
     "bloom_exact": (bloom_exact, "SELECT event_id AS txn, user_id AS key FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) WHERE b IS NOT NULL AND epoch_us(ts) - epoch_us(b) < 3600000000"),
     "ring_route": (ring_route, f"WITH r AS ({_RING}), k AS (SELECT c_name AS key, CAST(('0x' || substr(md5(c_name), 25, 8)) AS BIGINT) AS h FROM customer), f AS (SELECT key, h, min(pos) AS pos FROM k LEFT JOIN r ON pos > h GROUP BY key, h) SELECT key, node FROM f JOIN r ON r.pos = coalesce(f.pos, (SELECT min(pos) FROM r))"),
-    "vclock_compare": (vclock_compare, "SELECT * FROM (VALUES (1, 2, 'BEFORE', '{\"a\":2}'), (1, 3, 'CONCURRENT', '{\"a\":1,\"b\":1}'), (2, 3, 'CONCURRENT', '{\"a\":2,\"b\":1}'), (4, 5, 'AFTER', '{\"a\":1,\"b\":1}'), (6, 7, 'CONCURRENT', '{\"a\":1,\"b\":1}'), (8, 9, 'EQUAL', '{\"a\":0}')) t(a, b, rel, merged)"),
-    "vclock_lww": (vclock_lww, "SELECT key, id, CAST(n AS BIGINT) AS n_siblings FROM (VALUES ('k1', 2, 2), ('k2', 4, 1), ('k3', 7, 2), ('k4', 8, 1)) t(key, id, n)"),
-    "siblings": (siblings, "SELECT * FROM (VALUES ('k1', 2), ('k1', 3), ('k2', 4), ('k3', 6), ('k3', 7), ('k4', 8)) t(key, id)"),
+    "vclock_compare": (vclock_compare, f"SELECT id, CASE WHEN node <> p THEN 'CONCURRENT' WHEN n = pn THEN 'EQUAL' WHEN pn < n THEN 'BEFORE' ELSE 'AFTER' END AS rel, CASE WHEN node = p THEN '{{\"' || node || '\":' || greatest(n, pn) || '}}' WHEN p < node THEN '{{\"' || p || '\":' || pn || ',\"' || node || '\":' || n || '}}' ELSE '{{\"' || node || '\":' || n || ',\"' || p || '\":' || pn || '}}' END AS merged, CASE WHEN node = 'view' THEN '{{\"view\":' || (n + 1) || '}}' WHEN node < 'view' THEN '{{\"' || node || '\":' || n || ',\"view\":1}}' ELSE '{{\"view\":1,\"' || node || '\":' || n || '}}' END AS bumped FROM (SELECT *, lag(node) OVER w AS p, lag(n) OVER w AS pn FROM ({_VERSIONS}) WINDOW w AS (PARTITION BY key ORDER BY id)) WHERE p IS NOT NULL"),
+    "vclock_lww": (vclock_lww, f"SELECT key, arg_max(s.id, (ts, s.id)) AS id, count(*) AS n_siblings FROM ({_SIBLINGS}) s JOIN events ON event_id = s.id GROUP BY key"),
+    "siblings": (siblings, f"SELECT key, id FROM ({_SIBLINGS})"),
+    "sql_dynamic_values": (sql_dynamic_values, f"SELECT id, balance / nullif(id % 3, 0) AS share, CAST(round(balance) AS BIGINT) AS whole, name AS bare, CAST(floor(code) AS BIGINT) AS number, CAST(code * 2 AS DOUBLE) AS twice FROM ({_PARTIES}) WHERE code > 3 OR code IS NULL"),
+    "sql_any_value": (sql_any_value, f"SELECT id, CASE WHEN id < 9 AND id <> 3 THEN true END AS among, id > 4 AS above FROM ({_PARTIES})"),
+    "sql_bound_update": (sql_bound_update, f"SELECT id, CASE WHEN id % 3 = 1 THEN 'it''s' ELSE name END AS name, CASE WHEN id % 3 = 1 THEN balance * 2 ELSE balance END AS balance FROM ({_PARTIES}) WHERE code IS NOT NULL"),
+    "sql_last_wins": (sql_last_wins, f"SELECT id, CASE id WHEN 1 THEN 'third' WHEN 2 THEN 'only' ELSE name END AS name, CASE WHEN id NOT IN (1, 2) THEN balance END AS balance FROM ({_PARTIES})"),
+    "analyze_row_size": (analyze_row_size, f"SELECT count(*) AS n, round(avg(length(CAST(id AS VARCHAR)) + length(name) + length(CAST(balance AS VARCHAR)) + length(coalesce(CAST(code AS VARCHAR), 'none'))), 6) AS row_bytes FROM ({_PARTIES})"),
     "quorum": (quorum, "SELECT op, acks, acks >= 1 AS one, acks >= 2 AS quorum, acks >= 3 AS all_of FROM (SELECT CAST(floor(event_id / 3) AS BIGINT) AS op, count(*) FILTER (event_type <> 'error') AS acks FROM events GROUP BY 1)"),
     "gossip_state": (gossip_state, "SELECT node, heartbeat, CASE WHEN 100 - heartbeat / 100 > 10 THEN 'DEAD' WHEN 100 - heartbeat / 100 > 5 THEN 'SUSPECT' ELSE 'ALIVE' END AS state FROM (SELECT user_id AS node, max(event_id) AS heartbeat FROM events GROUP BY 1)"),
     "read_repair": (read_repair, "SELECT n.key, node, version, wanted FROM (SELECT user_id AS key, event_type AS node, max(event_id) AS version FROM events GROUP BY 1, 2) n JOIN (SELECT user_id AS key, max(event_id) AS wanted FROM events GROUP BY 1) w USING (key) WHERE version <> wanted"),
