@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 #: Word separators: space and the control characters 0x09 to 0x0D (a fixed value of the contract).
 SEPARATORS = r"[\x20\x09-\x0D]+"
 _ROOT = Path(__file__).resolve().parents[2]
+BATCH = 8 << 20  # a batch stands several times in memory: in the JVM, on its way, in Python
+_BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 _shipped: set[str] = set()
 _made: list[str] = []
 
@@ -81,7 +83,12 @@ def release(spark: SparkSession, paths: list[str] | None = None) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package when it is not on their path already."""
+    """Let Python workers import this package when it is not on their path already, and get batches of ``BATCH`` bytes.
+
+    Spark's own limit is kept where somebody has set one.
+    """
+    if spark.conf.get(_BATCH_LIMIT, "64MB") in ("64MB", "67108864b", str(64 << 20)):
+        spark.conf.set(_BATCH_LIMIT, f"{BATCH}b")
     app = spark.sparkContext.applicationId
     on_path = {os.path.realpath(p) for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p}
     if app in _shipped or str(_ROOT) in on_path:
@@ -110,6 +117,7 @@ def tidy(work: Callable[..., Iterator]) -> Callable[..., Iterator]:
 
     @wraps(work)
     def run(*args, **more) -> Iterator:
+        pa.set_memory_pool(pa.system_memory_pool())  # keeps less of what is free than Arrow's own
         try:
             yield from work(*args, **more)
         finally:

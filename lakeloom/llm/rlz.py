@@ -265,7 +265,7 @@ def _parse(batches: Iterator[pa.RecordBatch], digest: bool, carried: bool, spans
             removed = len(mask) - int(mask.sum())
             parts = (own.as_py() or "").encode().split()
             left = b" ".join(compress(parts, mask.tolist()) if removed else parts)
-            rows.append((doc_id, len(mask), removed, hashlib.sha256(left).hexdigest() if digest else left.decode()))
+            rows.append((doc_id, len(mask), removed, hashlib.sha256(left).hexdigest() if digest else None if carried and not removed else left.decode()))
         if rows:
             made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
             names = ["doc_id", "n_words", "n_removed", "kept"]
@@ -284,7 +284,7 @@ def deduplicate(docs: DataFrame, digest: bool = False, carry: bool = False, span
     With ``spans`` also factors: (start, words, source_id, source_start) of each.  Null and empty texts
     have no words.  Documents are ordered by doc_id, rows without one come last; rows that repeat a doc_id,
     or have none, are documents each, in the order of the table.  Other columns are ignored, or with ``carry``
-    kept in ``rest``, with the text as it was; an empty table gives no rows.
+    kept in ``rest``, with the text as it was, and kept is null where nothing goes; an empty table gives no rows.
     """
     common.ship(docs.sparkSession)
     last = F.lit((1 << 63) - 1)
