@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..plans.quantified import rewrite
+from ..plans.quantified import rewrite, spread_not_in
 from ..sources.catalog import register
 from .core import PAIRS, SAME
 from .frames import FRAMES
@@ -15,7 +15,7 @@ from .frames import FRAMES
 def _sql(text: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         register(spark, sf_dir, text)
-        return spark.sql(rewrite(text))
+        return spark.sql(spread_not_in(rewrite(text)))
 
     return query
 
