@@ -343,7 +343,7 @@ def stream_tumbling(spark, sf):
     root = _root(spark)
     load(spark, sf, "events").selectExpr("event_id", "CAST(ts AS TIMESTAMP) AS ts", "event_type", "value").write.parquet(f"{root}/in")
     source = streaming.source(spark, f"{root}/in", "event_id long, ts timestamp, event_type string, value double")
-    out = streaming.drain(streaming.tumbling(source, "ts", "1 day", "1 day", "event_type"), f"t{uuid.uuid4().hex}", f"{root}/cp", "complete")
+    out = streaming.drain(streaming.tumbling(source, "ts", "1 day", "1 day", "event_type"), f"{root}/out", f"{root}/cp", "complete")
     return out.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
@@ -353,7 +353,7 @@ def stream_sliding(spark, sf):
     root = _root(spark)
     load(spark, sf, "events").selectExpr("CAST(ts AS TIMESTAMP) AS ts", "value").write.parquet(f"{root}/in")
     source = streaming.source(spark, f"{root}/in", "ts timestamp, value double")
-    out = streaming.drain(streaming.sliding(source, "ts", "2 days", "1 day", "1 day"), f"t{uuid.uuid4().hex}", f"{root}/cp", "complete")
+    out = streaming.drain(streaming.sliding(source, "ts", "2 days", "1 day", "1 day"), f"{root}/out", f"{root}/cp", "complete")
     return out.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "n")
 
 
@@ -363,7 +363,7 @@ def stream_sessions(spark, sf):
     root = _root(spark)
     load(spark, sf, "events").selectExpr("CAST(ts AS TIMESTAMP) AS ts", "user_id").write.parquet(f"{root}/in")
     source = streaming.source(spark, f"{root}/in", "ts timestamp, user_id long")
-    out = streaming.drain(streaming.sessions(source, "ts", "6 hours", "1 day", "user_id"), f"t{uuid.uuid4().hex}", f"{root}/cp", "complete")
+    out = streaming.drain(streaming.sessions(source, "ts", "6 hours", "1 day", "user_id"), f"{root}/out", f"{root}/cp", "complete")
     return out.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.sum("n").alias("events_n"))
 
 

@@ -2,15 +2,51 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.versioned import Folder
+
+
+_STATE = "spark.sql.streaming.stateStore.providerClass"
+_ON_HEAP, _ON_DISK = (f"org.apache.spark.sql.execution.streaming.state.{n}StateStoreProvider" for n in ("HDFSBacked", "RocksDB"))
+
+
+def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Run what is there to the end and return what the stream puts out; the rows go to files, none to the driver.
+
+    ``path`` is a folder that executors share.  Each batch writes a folder of its own there, so a batch that is
+    repeated replaces itself.  In complete mode a batch holds the whole result, and the last one is read.
+    """
+    spark = stream.sparkSession
+    folder = Folder(spark, path)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{number:020d}")
 
-def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run what is there to the end and return the sink's rows (small results and tests)."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    with _state_on_disk(spark):
+        query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    written = sorted(folder.names(""))
+    if not written:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(*[f"{path}/{name}" for name in (written[-1:] if mode == "complete" else written)])
+
+
+@contextmanager
+def _state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Queries that start here keep their state in RocksDB, not on the heap, where nobody has chosen another store."""
+    chosen = spark.conf.get(_STATE, _ON_HEAP)
+    if chosen == _ON_HEAP:
+        spark.conf.set(_STATE, _ON_DISK)
+    try:
+        yield
+    finally:
+        if chosen == _ON_HEAP:
+            spark.conf.unset(_STATE)
 
 
 def source(spark: SparkSession, path: str, schema) -> DataFrame:
