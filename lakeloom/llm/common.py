@@ -128,6 +128,16 @@ def tidy(work: Callable[..., Iterator]) -> Callable[..., Iterator]:
     return run
 
 
+def hold_memory() -> None:
+    """Let this process keep up to 256 MB of free memory between allocations, instead of fetching pages anew for every array.
+
+    ``tidy`` still gives it back at the end of a task.
+    """
+    if mallopt := getattr(ctypes.CDLL(None), "mallopt", None):  # glibc only
+        mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
+        mallopt(-1, 256 << 20)  # M_TRIM_THRESHOLD
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the texts of one piece hold about ``limit`` bytes (one row at least)."""
     for batch in batches:

@@ -28,6 +28,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,7 @@ STEP = 4  # how much fewer places the next candidates need; a smaller step takes
 SHORT = 64  # expansions up to this length are kept decoded while a shard is read
 _MAGIC = b"RPG2"
 _HALF = np.uint64(32)
+_RIGHT = np.uint64(0xFFFFFFFF)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -54,31 +56,44 @@ def _counted(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[starts[enough]], counts[enough]
 
 
-def _pairs_of(symbols: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The pair at each place, and whether it counts there."""
-    counts = np.ones(len(symbols) - 1, dtype=bool)
-    counts[ends[(ends > 0) & (ends < len(symbols))] - 1] = False
-    equal = np.flatnonzero((symbols[1:] == symbols[:-1]) & counts)
+def _counting(keys: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the pair at each of these places counts; of a run of equal symbols all places are given, or none."""
+    counts = np.ones(len(at), dtype=bool)
+    equal = np.flatnonzero(keys >> _HALF == keys & _RIGHT)
     if len(equal):
         place = np.arange(len(equal))
-        run = np.maximum.accumulate(np.where(np.diff(equal, prepend=-2) > 1, place, 0))
+        run = np.maximum.accumulate(np.where(np.diff(at[equal], prepend=-2) > 1, place, 0))
         counts[equal[(place - run) % 2 == 1]] = False
-    return symbols[:-1] << _HALF | symbols[1:], counts
-
-
-def _winners(keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places where one of the pairs (the first is the strongest) stands and beats its neighbours, and which one."""
-    bits = len(pairs).bit_length() + 3
-    shift = np.uint64(64 - bits)
-    table = np.full(1 << bits, -1, dtype=np.int32)
-    slots = pairs * _MIX >> shift
-    table[slots[::-1]] = np.arange(len(pairs) - 1, -1, -1, dtype=np.int32)  # of two pairs of one slot the weaker one waits
-    taken = table >= 0
-    at = np.flatnonzero(taken[keys * _MIX >> shift] & counts)
-    found = keys[at]
-    rule = table[found * _MIX >> shift]
-    real = pairs[rule] == found
-    at, rule = at[real], rule[real]
+    return counts
+
+
+def _pairs_of(symbols: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pair at each place, and whether it counts there."""
+    keys, inside = symbols[:-1] << _HALF | symbols[1:], np.ones(len(symbols) - 1, dtype=bool)
+    inside[ends[(ends > 0) & (ends < len(symbols))] - 1] = False
+    at = np.flatnonzero(inside)
+    inside[at] = _counting(keys[at], at)
+    return keys, inside
+
+
+def _slots(keys: np.ndarray, pairs: int) -> np.ndarray:
+    """A place for each key in a table for so many pairs."""
+    return (keys * _MIX >> np.uint64(64 - _bits(pairs))).view(np.int64)
+
+
+def _bits(pairs: int) -> int:
+    return pairs.bit_length() + 3
+
+
+def _winners(at: np.ndarray, keys: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (of ``at``, which has ``keys``) where one of the pairs (the first is the strongest) stands and beats its neighbours, and which one."""
+    table = np.full(1 << _bits(len(pairs)), -1, dtype=np.int32)
+    table[_slots(pairs, len(pairs))[::-1]] = np.arange(len(pairs) - 1, -1, -1, dtype=np.int32)  # of two pairs of one slot the weaker one waits
+    rule = table[_slots(keys, len(pairs))]
+    some = np.flatnonzero(rule >= 0)
+    rule = rule[some]
+    real = pairs[rule] == keys[some]
+    at, rule = at[some[real]], rule[real]
     if not len(at):
         return at, rule
     apart = np.diff(at) > 1  # from the next place with a pair
@@ -90,31 +105,53 @@ def _winners(keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -> tuple[n
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, symbol ends of documents, rules) of the ids of documents that end at ``ends``."""
-    symbols, ends = ids.astype(np.uint64), ends.astype(np.int64)
+    """(symbols, symbol ends of documents, rules) of the ids of documents that end at ``ends``.
+
+    A pair of two symbols that were there before a pass has no more places after it.  So once it has too few
+    to pay it never pays again, and its places are ``open`` no longer: each pass looks at open places alone.
+    """
+    ends = ends.astype(np.int64)
+    pairs_at = ids.astype(np.uint64) << _HALF  # a symbol and the next one; behind a document's last symbol any
+    pairs_at[:-1] |= pairs_at[1:] >> _HALF
     rules, made, level = [np.empty(0, np.uint64)], first, 0
-    while len(symbols) > 1:
-        keys, counts = _pairs_of(symbols, ends)
-        pairs, found = _counted(keys[counts], PAYS)
-        if not len(pairs):
+    open_ = np.ones(len(ids), dtype=bool)
+    while len(pairs_at) > 1:
+        open_[ends[ends > 0] - 1] = False  # pairs never cross a document's end
+        at = np.flatnonzero(open_)
+        keys = pairs_at[at]
+        counts = _counting(keys, at)
+        every, found = _counted(keys[counts], PAYS)
+        if not len(every):
             break
         level = min(level or int(found.max()), int(found.max()))
         chosen = found >= level
-        pairs = pairs[chosen][np.argsort(-found[chosen], kind="stable")]
-        at, rule = _winners(keys, counts, pairs)
+        pairs = every[chosen][np.argsort(-found[chosen], kind="stable")]
+        paying = np.zeros(1 << _bits(len(every)), dtype=bool)
+        paying[_slots(every, len(every))] = True
+        still = paying[_slots(keys, len(every))]
+        open_[at[~still]] = False
+        counts &= still
+        at, rule = _winners(at[counts], keys[counts], pairs)
         pays = np.bincount(rule, minlength=len(pairs)) >= PAYS
-        at, rule = at[pays[rule]], rule[pays[rule]]
-        symbols[at] = (np.cumsum(pays) + (made - 1))[rule]
-        keep = np.ones(len(symbols), dtype=bool)
+        won = pays[rule]
+        at, rule = at[won], rule[won]
+        symbols = (np.cumsum(pays) + (made - 1)).astype(np.uint64)[rule]
+        keep = np.ones(len(pairs_at), dtype=bool)
         keep[at + 1] = False
-        ends = np.concatenate(([0], np.cumsum(keep)))[ends]
-        symbols = symbols[keep]
+        pairs_at[at] = symbols << _HALF | pairs_at[at + 1] & _RIGHT
+        inner = at > 0
+        before = at[inner] - 1
+        before -= ~keep[before]  # the next one to the left that stays
+        pairs_at[before] = pairs_at[before] & ~_RIGHT | symbols[inner]
+        open_[at] = open_[before] = True
+        ends = ends - np.searchsorted(at + 1, ends)
+        pairs_at, open_ = pairs_at[keep], open_[keep]
         rules.append(pairs[pays])
         made += int(pays.sum())
-        if len(at) * 100 < len(symbols):
+        if len(at) * 100 < len(pairs_at):
             level = max(PAYS, level // STEP)
     every = np.concatenate(rules)
-    return symbols.astype("<u4"), ends, np.stack((every >> _HALF, every & np.uint64(0xFFFFFFFF)), axis=1).astype("<u4")
+    return (pairs_at >> _HALF).astype("<u4"), ends, np.stack((every >> _HALF, every & _RIGHT), axis=1).astype("<u4")
 
 
 def expansion_lengths(rules: np.ndarray, first: int) -> np.ndarray:
@@ -183,13 +220,13 @@ class Shard:
         while (long := self.lengths[symbols] > SHORT).any():
             symbols = self._split(symbols, long)
         each = self.lengths[symbols]
-        ends = np.cumsum(each)
         out = np.repeat(symbols, each).astype("<u4")
-        grown = np.flatnonzero(out >= self.first)
-        if len(grown):
+        ruled = np.flatnonzero(symbols >= self.first)
+        if len(ruled):
             pool_at, pool = self._short()
-            owner = np.searchsorted(ends, grown, side="right")
-            out[grown] = pool[pool_at[out[grown] - self.first] + grown - (ends - each)[owner]]
+            own = each[ruled]
+            from_pool = np.repeat(pool_at[symbols[ruled] - self.first] - np.cumsum(own) + own, own)
+            out[out >= self.first] = pool[from_pool + np.arange(len(from_pool))]
         return out
 
     def document(self, at: int) -> np.ndarray:
@@ -238,6 +275,7 @@ def _batch(schema: str, columns: list) -> pa.RecordBatch:
 def _write(batches: Iterator[pa.RecordBatch], path: str, end_id: int, first: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
+    common.hold_memory()
     encode, part, number = tokens.encoder(path).encode, TaskContext.get().partitionId(), 0
     doc_ids: list[int | None] = []
     parts: list[np.ndarray] = []
@@ -249,13 +287,15 @@ def _write(batches: Iterator[pa.RecordBatch], path: str, end_id: int, first: int
         n_symbols = struct.unpack_from("<I", data, 20)[0]
         return _batch(_SHARDS, [[part], [number], [named[0] if named else None], [named[-1] if named else None], [len(parts)], [n_symbols], [sum(map(len, parts))], [data]])
 
-    for piece in common.slices(batches, "text", SHARD_BYTES // 4):
-        doc_ids += piece.column("doc_id").to_pylist()
-        parts += [np.append(x, np.uint32(end_id)) for x in encode(piece.column("text"))]
-        size += piece.column("text").nbytes
-        if size >= SHARD_BYTES:
-            yield shard()
-            doc_ids, parts, size, number = [], [], 0, number + 1
+    for whole in common.slices(batches, "text", SHARD_BYTES):  # the more text at once, the fewer different words
+        found = iter(encode(whole.column("text")))
+        for piece in common.slices(iter([whole]), "text", SHARD_BYTES // 4):
+            doc_ids += piece.column("doc_id").to_pylist()
+            parts += [np.append(x, np.uint32(end_id)) for x in islice(found, len(piece))]
+            size += piece.column("text").nbytes
+            if size >= SHARD_BYTES:
+                yield shard()
+                doc_ids, parts, size, number = [], [], 0, number + 1
     if doc_ids:
         yield shard()
 
@@ -278,6 +318,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, first:
 
 @common.tidy
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    common.hold_memory()
     for batch in batches:
         for part, number, data in zip(*(batch.column(c) for c in ("part", "number", "grammar")), strict=True):
             shard = Shard(data.as_py())

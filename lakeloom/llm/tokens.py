@@ -9,6 +9,8 @@ The library keeps some hundred bytes for each token while it encodes, so it gets
 characters at a time, and a longer text in parts.  A part ends before a single space between two ASCII
 letters: both kinds of vocabulary file start a new pre-token there, whatever stands around, and neither
 lower case nor composition of characters reaches across it.
+
+Vocabularies of lower-case words know no white space, so ``WordEncoder`` cuts every text, into words.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 KEPT = 200_000
+WORDS = 500_000  # as many words are kept instead, each some 170 bytes
 GROUP = 1 << 18
 #: White space other than space and newline, and the places where a cut before a space could change a pre-token.
 _UNCUTTABLE = "^ | $| [ \n]|\n |[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
@@ -29,6 +32,24 @@ _PLAIN = "^ [A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?$"
 _SPACE = "Ġ"  # how byte-level vocabularies write a space
 _PLACE = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
 _encoders: dict[str, Encoder] = {}
+#: What a file of lower-case words says about white space and words, if ``WordEncoder`` may read it.
+_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+    "padding": None,
+}
+_MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
+_LETTERS = "".join(c for c in map(chr, range(0x41, 0x100)) if c.isalpha() and c not in "ªµº")
+_WORD = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[" + re.escape(_MARKS) + "]*$"
+LONG = 64  # longer pieces are not kept
 
 
 def byte_of_char() -> dict[str, int]:
@@ -155,10 +176,98 @@ class Encoder(CachedPieces):
         return [np.array(found.ids, dtype="<u4").tobytes() for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+def _gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What stands at these places of the pool, one after the other, and where each ends."""
+    ends = np.cumsum(lengths)
+    return pool[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
+class WordEncoder(Encoder):
+    """For vocabularies of lower-case words: no token reaches across white space, so any text is cut at spaces and newlines.
+
+    Letters and punctuation behind them never share a token either.  A piece of Latin letters and ASCII
+    punctuation has the ids of its word in lower case, and then those of the punctuation, so far fewer
+    different texts go to the library.  Other pieces go there as they are.
+    """
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.bare = Tokenizer.from_file(path)  # for words in lower case, on which the file's normalizers and pattern do nothing
+        self.bare.encode_special_tokens = True
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.words: dict[str, bytes] = {}
+        self.behind: dict[str, bytes] = {"": b""}
+
+    @staticmethod
+    def fits(path: str) -> bool:
+        with open(path, encoding="utf-8") as file:
+            found = json.load(file)
+        added = [t["content"] for t in found.get("added_tokens") or [] if not t["special"]]
+        return bool(found["model"].get("end_of_word_suffix")) and not added and all(found.get(part) == want for part, want in _WORDS.items())
+
+    def _of(self, texts: pa.Array, known: dict[str, bytes], most: int, encode) -> list[bytes]:
+        """Ids of different texts, from those that are known or by ``encode``; up to ``most`` are kept."""
+        names = texts.to_numpy(zero_copy_only=False).tolist()
+        held = list(map(known.get, names))
+        missing = [at for at, ids in enumerate(held) if ids is None]
+        lengths = np.cumsum([len(names[at]) for at in missing])
+        for group in np.split(np.array(missing, dtype=np.int64), np.flatnonzero(np.diff(lengths // GROUP)) + 1):
+            asked = [names[at] for at in group]
+            for at, name, ids in zip(group.tolist(), asked, encode(asked), strict=True):
+                held[at] = ids
+                if len(known) < most and len(name) <= LONG:
+                    known[name] = ids
+        return held
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Words as one text, which saves the cost of a call; the last token of each is marked."""
+        if not words:
+            return []
+        ids = np.array(self.bare.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        bounds = [0, *(4 * (np.flatnonzero(self.marks[ids]) + 1)).tolist()]
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        texts = texts.cast(pa.large_string()).fill_null("")
+        if not len(texts):
+            return []
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        flat, offsets = lists.flatten(), np.asarray(lists.offsets, dtype=np.int64)
+        coded = flat.dictionary_encode()
+        codes, pieces = np.asarray(coded.indices), coded.dictionary
+        plain = pc.match_substring_regex(pieces, _WORD)
+        lower = pc.utf8_lower(pieces.filter(plain))
+        words = pc.utf8_rtrim(lower, _MARKS).dictionary_encode()
+        behind = pc.utf8_ltrim(lower, _LETTERS).dictionary_encode()
+        held = self._of(words.dictionary, self.words, WORDS, self._words)
+        held += self._of(pieces.filter(pc.invert(plain)), self.kept, KEPT, self._ids)
+        first_behind = len(held)
+        held += self._of(behind.dictionary, self.behind, KEPT, self._ids)
+        held.append(b"")
+        # each piece is a word and what stands behind it, or one text and nothing
+        plain = np.asarray(plain)
+        parts = np.full((len(pieces), 2), len(held) - 1)
+        parts[plain, 0] = np.asarray(words.indices)
+        parts[plain, 1] = np.asarray(behind.indices) + first_behind
+        parts[~plain, 0] = len(words.dictionary) + np.arange(np.count_nonzero(~plain))
+        lengths = np.fromiter(map(len, held), dtype=np.int64, count=len(held)) // 4
+        starts = np.cumsum(lengths) - lengths
+        pool, ends = _gather(np.frombuffer(b"".join(held), dtype="<u4"), starts[parts.ravel()], lengths[parts.ravel()])
+        ends = ends[1::2]
+        starts = np.append(0, ends[:-1])
+        ids, ends = _gather(pool, starts[codes], (ends - starts)[codes])
+        bounds = np.append(0, ends)[offsets - offsets[0]]
+        return [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
 def encoder(path: str) -> Encoder:
     """One encoder for each Python worker and file."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = WordEncoder(path) if WordEncoder.fits(path) else Encoder(path)
     return _encoders[path]
 
 
